@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..runtime import normal_hash, table
 from .cooccurrence import together
 from .encoding import encode_text
+from .identities import identity_pairs, link_identities
 from .leakage import leaked_spans, without_leaks
+from .sentences import sentence_ends
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("RISKLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -34,6 +36,18 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("analysis_id", F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), "n_baskets", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("jaccard", 6).alias("jaccard"))
 
 
+# 5: variant spellings of names
+
+
+def p5_people(spark: SparkSession, d: str) -> DataFrame:
+    """Identities and the person each belongs to."""
+    return link_identities(table(spark, d, "process_commits", "author", "author_email"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return identity_pairs(p5_people(spark, d))
+
+
 # 8: encoding
 
 
@@ -64,7 +78,15 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents", "doc_id", "text"), _spans(spark, d)).select("doc_id", "clean_text", "n_removed", F.round("coverage", 6).alias("coverage"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p8_ids, p9_found, p9_spans, p9_clean)}
+# 10: sentences
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of the sentence units of every document."""
+    return sentence_ends(table(spark, d, "documents", "doc_id", "text", "lang"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p5_people, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}
 
 _PAIRS = r"""
 c AS (SELECT DISTINCT analysis_id, lower(regexp_replace(commit_hash, '^\s+|\s+$', '', 'g')) AS h, file_path FROM process_file_changes WHERE commit_hash IS NOT NULL),
