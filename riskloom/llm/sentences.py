@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 #: Share of a language's block starts below which a first word is counted by its shape only: at most 1,000 words a language.
 START_SHARE = 1e-3
 #: Share of a language's periods below which the word before it is counted by its shape only: at most 100,000 words a language.
@@ -26,19 +28,17 @@ PRIOR = 20.0
 USUAL_END = 8
 
 #: Frequent function words that tell languages of the Latin script apart (fixed values).
-FUNCTION_WORDS = {
-    w: lang
-    for lang, words in {
-        "en": "the of and to is was with that it for by be this from are which not has were its but had when after",
-        "de": "der die das und ist nicht mit ein eine den dem zu von auf wird wurde wurden bei nach hat sich im am noch seit siehe ab",
-        "fr": "le les et est une du dans pour que qui pas plus sur au avec ne ce par il elle trop depuis voir encore après",
-        "es": "el los las y es una del para que no se por con su al lo como más ya todavía desde tras véase está fue",
-        "it": "il gli di è una per che non con sono della nel alla più anche dal",
-        "pt": "o os as e é uma do da para que não se por com mais ao foi pela",
-        "nl": "het een en van is niet met voor op zijn dat te aan ook naar",
-    }.items()
-    for w in words.split()
+_WORDS_OF = {
+    "en": "the of and to is was as no with that it for by be this from are which not has were its but had when after",
+    "de": "der die das und ist nicht mit ein eine den dem zu von auf wird wurde wurden bei nach hat sich im am noch seit siehe ab",
+    "fr": "le les et est une du dans pour que qui pas plus sur au avec ne ce par il elle trop depuis voir encore après",
+    "es": "el los las y es una del para que no se por con su al lo como más ya todavía desde tras véase está fue",
+    "it": "il gli di è una per che non con sono della nel alla più anche dal",
+    "pt": "o os as e é uma do da para que não se por com mais ao foi pela",
+    "nl": "het een en van is niet met voor op zijn dat te aan ook naar",
 }
+#: Words that stand in one list only.
+FUNCTION_WORDS = {w: lang for lang, words in _WORDS_OF.items() for w in words.split() if sum(w in x.split() for x in _WORDS_OF.values()) == 1}
 
 _CJK = r"⺀-⿟々-ヿ㐀-鿿가-힯豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
 _SCRIPTS = [("th", re.compile("[฀-๿]")), ("hi", re.compile("[ऀ-ॿ]")), ("ru", re.compile("[Ѐ-ԯ]")), ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[㐀-鿿\U00020000-\U0003ffff]")), ("ar", re.compile("[؀-ۿ]")), ("el", re.compile("[Ͱ-Ͽ]")), ("ko", re.compile("[가-힯]"))]
@@ -249,9 +249,9 @@ def candidates(s: str) -> list[Candidate]:
         if re.search("[।॥؟۔]", term):
             out.append(Candidate(j, True, quote_at=quote))
             continue
-        if not nxt.isspace():
-            continue
-        a = max(s.rfind(" ", 0, m.start()), s.rfind(" ", 0, m.start())) + 1
+        a = max(s.rfind(" ", 0, m.start()), s.rfind("\xa0", 0, m.start())) + 1
+        if not nxt.isspace() and not (nxt.isupper() and "/" not in s[a : m.start()] and _PLAIN_END.search(s[a : m.start()])):
+            continue  # a mark inside a token, unless the space after a plain word was forgotten
         rest = s[j:].lstrip()
         token = rest.split(None, 1)[0] if len(rest) < 200 else rest[:200].split(None, 1)[0]
         if token in ("—", "–", "«", "„", "-") and " " in rest:
@@ -267,6 +267,13 @@ def count_evidence(text: str, declared: str | None, into: Counter) -> None:
         if block.whole or not block.text:
             continue
         lang = language(block.text, declared)
+        tokens = block.text.split()
+        for last, token in zip(tokens, tokens[1:]):
+            if last[-1].isalnum() or last[-1] == ",":
+                token = token.rstrip(_TRAIL)
+                if token.isalpha():
+                    low = token.lower()
+                    into[lang, "low" if token == low else "cap", "", "", low, ""] += 1
         first = block.text.split(None, 1)
         if first:
             token = first[0]
@@ -284,23 +291,28 @@ class Model:
 
     starts: dict[tuple[str, str], float] = field(default_factory=dict)
     follows: dict[tuple[str, str], dict[str, float]] = field(default_factory=dict)
+    common: set[tuple[str, str]] = field(default_factory=set)  # followers with a capital that are written small inside sentences
 
     def ends(self, lang: str, word: tuple[str, str], next_: tuple[str, str]) -> bool:
         """Whether a sentence ends between the two.
 
         What follows a word with a period is a mixture of sentence starts and of what goes on: P(t|w) = b S(t) + (1 - b) Q(t).
-        b is the overlap of P(.|w) with S; the odds of a start at t are those of b S(t) in P(t|w).
+        b is the overlap of P(.|w) with S; the odds of a start at t are those of b S(t) in P(t|w). A capital where the
+        word is otherwise written small is a start by itself and counts as overlap.
         """
+        small = next_[1].endswith("<xx>")
         entry = self.follows.get((lang, word[0])) or self.follows.get((lang, word[1])) or {}
-        t = next_[0] if (lang, next_[0]) in self.starts or next_[0] in entry else next_[1]
-        start = self.starts.get((lang, t), 0.0)
         if not entry:
-            return not next_[1].endswith("<xx>")
-        b = entry["<b>"]
-        seen = entry.get(t, 0.0)
+            return not small
+        t = next_[0] if (lang, next_[0]) in self.starts or next_[0] in entry else next_[1]
+        if (lang, next_[0]) in self.common:
+            return True
+        b, seen = entry["<b>"], entry.get(t, 0.0)
+        if b > 0.5 and word[0][:1] not in "<…?":  # a word that is no abbreviation
+            return not small
         if seen <= 0.0:
-            return b > 0.5 and not next_[1].endswith("<xx>")
-        return b * start * (USUAL_END if b > 0.5 else 2) > seen
+            return b > 0.5 and not small
+        return b * self.starts.get((lang, t), 0.0) * (USUAL_END if b > 0.5 else 2) > seen
 
 
 def units(text: str | None, declared: str | None, model: Model) -> list[int]:
@@ -366,22 +378,30 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     pairs = counts.where("kind = 'pair'")
     by_shape = pairs.withColumn("w", F.col("ws"))
     words = kept(pairs, ["lang"], "w", "ws", WORD_SHARE, 3).where(F.col("w") != F.col("ws")).unionByName(by_shape)
+    case = counts.where("kind IN ('low', 'cap')").groupBy("lang", "t").agg(F.sum(F.when(F.col("kind") == "low", F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("kind") == "cap", F.col("n")).otherwise(0)).alias("cap"))
+    case = case.where((F.col("low") >= LEAST) & (F.col("low") > F.col("cap"))).withColumnRenamed("t", "small")
+    capital = pairs.where(F.lower("t") != F.col("t")).groupBy("lang", "t").agg(F.sum("n").alias("n")).join(pairs.groupBy("lang").agg(F.sum("n").alias("all")), "lang")
+    common = capital.where(F.col("n") >= F.col("all") * WORD_SHARE).withColumn("small", F.lower(F.ltrim(F.col("t"), F.lit("—“")))).join(case, ["lang", "small"]).select("lang", "t")
+    common = cut(common)
     known = starts.select("lang", "t", F.lit(True).alias("known"))
     follows = words.join(known, ["lang", "t"], "left")
     per = follows.groupBy("lang", "w").agg(F.sum("n").alias("total"))
     own = follows.groupBy("lang", "w", "t").agg(F.sum("n").alias("own"))
     rare = own.join(per, ["lang", "w"]).where((F.col("own") < F.col("total") * FOLLOW_SHARE) | (F.col("own") < LEAST)).select("lang", "w", "t", F.lit(True).alias("rare"))
-    follows = follows.join(rare, ["lang", "w", "t"], "left").withColumn("t", F.when(F.col("known").isNull() & F.col("rare"), F.col("ts")).otherwise(F.col("t")))
+    own_names = common.withColumn("common", F.lit(True))
+    follows = follows.join(rare, ["lang", "w", "t"], "left").join(own_names, ["lang", "t"], "left")
+    # a common word is counted as one of a class, a rare follower by its shape
+    follows = follows.withColumn("t", F.when(F.col("common"), F.lit("<common>")).when(F.col("known").isNull() & F.col("rare"), F.col("ts")).otherwise(F.col("t")))
     follows = follows.groupBy("lang", "w", "t").agg(F.sum("n").alias("n"), F.min("ws").alias("ws"))
-    return _model([tuple(r) for r in starts.collect()], [tuple(r) for r in follows.collect()])
+    return _model([tuple(r) for r in starts.collect()], [tuple(r) for r in follows.collect()], [tuple(r) for r in common.collect()])
 
 
 def _frame(found: Counter) -> pd.DataFrame:
     return pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "kind", "w", "ws", "t", "ts", "n"])
 
 
-def _model(starts: list[tuple], follows: list[tuple]) -> Model:
-    model = Model()
+def _model(starts: list[tuple], follows: list[tuple], common: list[tuple] = ()) -> Model:
+    model = Model(common=set(common))
     total: Counter = Counter()
     for lang, _, n in starts:
         total[lang] += n
@@ -399,7 +419,7 @@ def _model(starts: list[tuple], follows: list[tuple]) -> Model:
         for t, q in base.items():
             if t != "<b>" and t not in p:
                 p[t] = weight * q / (n + weight)
-        p["<b>"] = sum(min(q, model.starts.get((lang, t), 0.0)) for t, q in p.items())
+        p["<b>"] = sum(q if t == "<common>" else min(q, model.starts.get((lang, t), 0.0)) for t, q in p.items())
         model.follows[lang, w] = p
     return model
 
