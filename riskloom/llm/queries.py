@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..runtime import normal_hash, table
 from .cooccurrence import together
 from .encoding import encode_text
+from .handwritten import not_handwritten
 from .identities import identity_pairs, link_identities
 from .leakage import leaked_spans, without_leaks
 from .sentences import sentence_ends
@@ -36,6 +37,20 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("analysis_id", F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), "n_baskets", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("jaccard", 6).alias("jaccard"))
 
 
+# 3: generated, minified and vendored files
+
+
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that no one on the project wrote by hand, with the evidence."""
+    columns = ("analysis_id", "file_path")
+    paths = table(spark, d, "dep_nodes", *columns).distinct().unionByName(table(spark, d, "process_file_changes", *columns).distinct())
+    return not_handwritten(paths, table(spark, d, "source_files", "analysis_id", "path", "content"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_files(spark, d).select("analysis_id", "file_path")
+
+
 # 5: variant spellings of names
 
 
@@ -86,7 +101,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_ends(table(spark, d, "documents", "doc_id", "text", "lang"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p5_found, p5_people, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_files, p5_found, p5_people, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}
 
 _PAIRS = r"""
 c AS (SELECT DISTINCT analysis_id, lower(regexp_replace(commit_hash, '^\s+|\s+$', '', 'g')) AS h, file_path FROM process_file_changes WHERE commit_hash IS NOT NULL),
