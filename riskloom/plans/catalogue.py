@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import graph_queries, problems, process_queries
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+_PARTS = (process_queries, graph_queries, problems)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
