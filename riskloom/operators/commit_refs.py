@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import join_measured
+
 SHORT_MIN, SHORT_MAX = 8, 39
 
 
@@ -34,11 +36,13 @@ def short_refs(refs: DataFrame, commits: DataFrame) -> DataFrame:
 def resolve(rows: DataFrame, commits: DataFrame) -> DataFrame:
     """rows (analysis_id, ref, ...) with the column ``hash``: what ref resolves to, or ref itself if it is no known short form.
 
-    Only rows whose reference is short meet the resolution table; all others pass through without a shuffle.
+    Only rows whose reference is short meet the resolution table; all others pass through without a shuffle. The table is
+    written once, so a plan that uses the result twice resolves once, and broadcast if it is counted to be small.
     Whether the commit exists is left to the join that follows. Null references stay null.
     """
     is_short = F.length("ref").between(SHORT_MIN, SHORT_MAX)
     plain = rows.where(F.col("ref").isNull() | ~is_short).withColumn("hash", F.col("ref"))
     some = rows.where(is_short)
     found = short_refs(some, commits).withColumnRenamed("hash", "resolved")
-    return plain.unionByName(some.join(found, ["analysis_id", "ref"], "left").withColumn("hash", F.coalesce("resolved", "ref")).drop("resolved"))
+    joined = join_measured(some, found, ["analysis_id", "ref"], "left")
+    return plain.unionByName(joined.withColumn("hash", F.coalesce("resolved", "ref")).drop("resolved"))

@@ -47,17 +47,17 @@ def _survivors(maps: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def orphan_keys(refs: DataFrame, parents: DataFrame, keys: list[str], at: str) -> DataFrame:
+def orphan_keys(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, rows: int | None = None) -> DataFrame:
     """Distinct keys of refs that had no parent by the end of some period in which they were referenced, or may not have had.
 
-    Keys of both sides become integers: a hash bucket (their number follows the row counts) and the dense rank of
-    the key inside it. Per bucket, range of 32,768 ids, side and month of ``at`` one bitmap is built in the JVM;
+    Keys of both sides become integers: a hash bucket (their number follows ``rows``, a bound of the rows of both sides,
+    counted if not given) and the dense rank of the key inside it. Per bucket, range of 32,768 ids, side and month of ``at`` one bitmap is built in the JVM;
     per range the bitmaps are combined (reference AND-NOT parents known so far) and the surviving bits are decoded and
     joined back to the dictionary. Bitmaps of one range are as many as there are months, so no group is unbounded.
 
     Result: keys, first_at (earliest ``at`` of a parent, null if there is none).
     """
-    rows = refs.count() + parents.count()
+    rows = refs.count() + parents.count() if rows is None else rows
     buckets = max(1, -(-rows // ROWS_PER_BUCKET))
     month = (F.year(at) * 12 + F.month(at)).cast("int")
     none = F.lit(None)
@@ -84,7 +84,7 @@ def orphan_keys(refs: DataFrame, parents: DataFrame, keys: list[str], at: str) -
     return coded.join(bits, ["bucket", "id"], "left_semi").select(*keys, "first_at")
 
 
-def orphan_rows(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, join) -> DataFrame:
+def orphan_rows(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, join, rows: int | None = None) -> DataFrame:
     """Rows of refs whose key no parent has ('missing') or whose parent's earliest ``at`` is after the row's ('late').
 
     The bitmaps leave the keys that can matter; their rows are then compared exactly by time. ``join`` joins a
@@ -92,6 +92,6 @@ def orphan_rows(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, j
     """
     refs = refs.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
     parents = parents.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-    hit = join(refs, orphan_keys(refs, parents, keys, at), keys)
+    hit = join(refs, orphan_keys(refs, parents, keys, at, rows), keys)
     late = F.col("first_at") > F.col(at).cast("timestamp_ntz")
     return hit.where(F.col("first_at").isNull() | late).withColumn("state", F.when(F.col("first_at").isNull(), F.lit("missing")).otherwise(F.lit("late")))

@@ -113,7 +113,8 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
 
     refs = tagged(edges, "dep_edges", "target_id", "row_id").unionByName(tagged(resolve(changes, commits), "process_file_changes", "hash", "row_id"))
     parents = tagged(nodes, "dep_edges", "id").unionByName(tagged(commits, "process_file_changes", "hash"))
-    return orphan_rows(refs, parents, ["ref_table", "analysis_id", "key"], "loaded_at", join_measured)
+    rows = sum(table(spark, d, t).count() for t in ("dep_edges", "dep_nodes", "process_file_changes", "process_commits"))  # from the files' footers
+    return orphan_rows(refs, parents, ["ref_table", "analysis_id", "key"], "loaded_at", join_measured, rows)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
