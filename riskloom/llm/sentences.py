@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ LEAST = 8
 #: Occurrences that the shape of a word counts for in what is known of the word.
 PRIOR = 20.0
 
+#: How often a known word must end sentences for one to end before a small letter too.
+SURE_END = 0.8
 #: After a word that mostly ends sentences, how many times more often than at starts a follower must stand to be no start.
 USUAL_END = 8
 
@@ -50,9 +53,16 @@ _MARK = re.compile(r"[﻿​ \t]*(?:(?:>[ \t]?)+|//+!?|--+|;+|%+)(?:[ \t]+|$)")
 _FENCE = re.compile(r"[﻿​ \t]*(```+|~~~+)")
 
 _TERM = re.compile(r"[.!?…。！？｡।॥؟۔‼-⁉]+")
+_WIDE, _BAR = re.compile("[。！？｡]"), re.compile("[।॥؟۔]")
+_WIDE_LETTER = re.compile(f"[{_CJK}]")
+_NEXT = re.compile(r"\s*((?:[—–«„\-]\s+)?\S+)")
+_VERSION = re.compile(r"v\d[\d.]*")
 _PLAIN_END = re.compile(r"^[^.@]*[a-zà-ÿа-я\d]{3}[\"”»)]?$")
+#: Words after a word or comma: surely inside a sentence.
+_INSIDE = re.compile(r"(?<=[\w,][ ])[^\W\d_]+(?!\w)")
 _THAI_GAP = re.compile("(?<=[ก-ฮะ-ๅ็-๎๐-๙])[ \t ]+(?=[฀-๿\"“(])")
 _CLOSE_OF = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "《": "》", "[": "]"}
+_PAIRED = re.compile("[\"" + re.escape("".join(_CLOSE_OF) + "".join(_CLOSE_OF.values())) + "]")
 _QUOTES = set('“„«‹「『"')
 _OPENERS = '"“„«‹‘(¿¡[「『（—–-…*_'
 _TRAIL = ",;:.!?)]”“»›\"'’…*_"
@@ -120,12 +130,13 @@ def blocks(text: str) -> list[Block]:
 
 def language(text: str, declared: str | None) -> str:
     """Language of a block: by script, in the Latin script by function words, else as declared, else English."""
-    letters = sum(map(len, _LATIN.findall(text)))
-    for lang, pattern in _SCRIPTS:
-        n = len(pattern.findall(text))
-        if n * 4 > letters and n:
-            return lang
-    votes = Counter(FUNCTION_WORDS[w] for w in text.lower().split() if w in FUNCTION_WORDS)
+    if not text.isascii() and max(text) > "\u036f":
+        letters = sum(map(len, _LATIN.findall(text)))
+        for lang, pattern in _SCRIPTS:
+            n = len(pattern.findall(text))
+            if n * 4 > letters and n:
+                return lang
+    votes = Counter(filter(None, map(FUNCTION_WORDS.get, text.lower().split())))
     if votes:
         (best, n), *rest = votes.most_common(2)
         if not rest or n > rest[0][1]:
@@ -134,6 +145,7 @@ def language(text: str, declared: str | None) -> str:
     return declared if declared in ("en", "de", "fr", "es", "it", "pt", "nl") else "en"
 
 
+@lru_cache(1 << 16)
 def shape(token: str) -> str:
     """Class of a token by its looks."""
     if "/" in token:
@@ -143,7 +155,7 @@ def shape(token: str) -> str:
         return "<none>"
     if c.isdigit():
         return "<0>"
-    if re.fullmatch(r"v\d[\d.]*", token):
+    if c == "v" and _VERSION.fullmatch(token):
         return "<v0>"
     if len(token) == 1 and c.isalpha():
         return "<X>" if c.isupper() else "<x>"
@@ -154,6 +166,7 @@ def shape(token: str) -> str:
     return "<other>" if c.isalpha() else "<mark>"
 
 
+@lru_cache(1 << 16)
 def follower(raw: str) -> tuple[str, str]:
     """(word, shape) of the token after a possible end. An opening mark is part of both."""
     core = raw.lstrip(_OPENERS)
@@ -164,6 +177,7 @@ def follower(raw: str) -> tuple[str, str]:
     return (sign + core if shape(core) in ("<Xx>", "<xx>", "<XX>", "<other>", "<X>", "<x>") else s), s
 
 
+@lru_cache(1 << 16)
 def before(raw: str, term: str, closed: str) -> tuple[str, str]:
     """(word, shape) of the token that carries a terminal mark."""
     tail = "”" if any(c in "”“»›\"」』" for c in closed) else ")" if closed else ""
@@ -181,7 +195,8 @@ def before(raw: str, term: str, closed: str) -> tuple[str, str]:
 def spans(s: str) -> list[tuple[int, int]]:
     """Quotations and brackets that open and close in the block."""
     out, stack = [], []
-    for i, c in enumerate(s):
+    for m in _PAIRED.finditer(s):
+        i, c = m.start(), m.group()
         if c == '"':
             opens = (i == 0 or s[i - 1] in " (—[ " or stack and stack[-1][1] == i - 1) and i + 1 < len(s) and s[i + 1] != " "
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
@@ -219,6 +234,7 @@ def candidates(s: str) -> list[Candidate]:
     depth = defaultdict(list)
     for a, b in pairs:
         depth[b].append(a)
+    until = len(s.rstrip())
     out = [Candidate(m.start(), True) for m in _THAI_GAP.finditer(s) if not inside[m.start()]]
     for m in _TERM.finditer(s):
         j, quote = m.end(), -1
@@ -239,23 +255,20 @@ def candidates(s: str) -> list[Candidate]:
         elif last and inside[last - 1] and any(a < last and b >= j for a, b in pairs):
             continue
         term = m.group()
-        if j >= len(s.rstrip()):
+        if j >= until:
             continue
         nxt = s[j]
-        wide = re.search("[。！？｡]", term) or ("…" in term and re.match(f"[{_CJK}]", nxt)) or ("…" in term and m.start() and re.match(f"[{_CJK}]", s[m.start() - 1]))
+        wide = _WIDE.search(term) or ("…" in term and (_WIDE_LETTER.match(nxt) or m.start() and _WIDE_LETTER.match(s[m.start() - 1])))
         if wide:
             out.append(Candidate(j, not (quote >= 0 and nxt in _JA_GOES_ON), quote_at=quote))
             continue
-        if re.search("[।॥؟۔]", term):
+        if _BAR.search(term):
             out.append(Candidate(j, True, quote_at=quote))
             continue
         a = max(s.rfind(" ", 0, m.start()), s.rfind("\xa0", 0, m.start())) + 1
         if not nxt.isspace() and not (nxt.isupper() and "/" not in s[a : m.start()] and _PLAIN_END.search(s[a : m.start()])):
             continue  # a mark inside a token, unless the space after a plain word was forgotten
-        rest = s[j:].lstrip()
-        token = rest.split(None, 1)[0] if len(rest) < 200 else rest[:200].split(None, 1)[0]
-        if token in ("—", "–", "«", "„", "-") and " " in rest:
-            token = token + rest[len(token) :].split(None, 1)[0]
+        token = _NEXT.match(s, j)[1].replace(" ", "")[:200]
         out.append(Candidate(j, None, before(s[a : m.start()], term, s[m.end() : j]), follower(token), quote))
     out.sort(key=lambda c: c.end)
     return out
@@ -267,13 +280,9 @@ def count_evidence(text: str, declared: str | None, into: Counter) -> None:
         if block.whole or not block.text:
             continue
         lang = language(block.text, declared)
-        tokens = block.text.split()
-        for last, token in zip(tokens, tokens[1:]):
-            if last[-1].isalnum() or last[-1] == ",":
-                token = token.rstrip(_TRAIL)
-                if token.isalpha():
-                    low = token.lower()
-                    into[lang, "low" if token == low else "cap", "", "", low, ""] += 1
+        for word, n in Counter(_INSIDE.findall(block.text)).items():
+            low = word.lower()
+            into[lang, "low" if word == low else "cap", "", "", low, ""] += n
         first = block.text.split(None, 1)
         if first:
             token = first[0]
@@ -309,7 +318,7 @@ class Model:
             return True
         b, seen = entry["<b>"], entry.get(t, 0.0)
         if b > 0.5 and word[0][:1] not in "<…?":  # a word that is no abbreviation
-            return not small
+            return not small or b > SURE_END and (lang, word[0]) in self.follows
         if seen <= 0.0:
             return b > 0.5 and not small
         return b * self.starts.get((lang, t), 0.0) * (USUAL_END if b > 0.5 else 2) > seen
