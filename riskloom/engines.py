@@ -11,7 +11,7 @@ from .functions.text import severity_rank
 from .operators import code_ir, repair, survivability
 from .operators.fusion import EngineResult, Orchestrator
 from .plans import graph_queries, model_queries, process_queries
-from .runtime import table
+from .runtime import cut, table
 
 #: Findings of one engine that are reported; all are counted.
 SHOWN = 200
@@ -46,7 +46,7 @@ def dependency(spark: SparkSession, folder: str) -> EngineResult:
 
 
 def mgtg(spark: SparkSession, folder: str) -> EngineResult:
-    tree = code_ir.nodes(table(spark, folder, "source_files", "analysis_id", "path", "content"))
+    tree = cut(code_ir.nodes(table(spark, folder, "source_files", "analysis_id", "path", "content")))
     mean = code_ir.file_health(tree).agg(F.coalesce(F.avg("health"), F.lit(1.0))).first()[0]
     return _result("mgtg", code_ir.findings(tree), 1.0 - mean)
 

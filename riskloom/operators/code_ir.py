@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codetext import _strip, health
 from ..functions.text import IR_LANGUAGES, language_of
+from ..runtime import cut
 
 NODE = "analysis_id string, path string, node int, parent int, kind string, name string, line int, depth int, nest int, loop_depth int, func string, has_else boolean, returns boolean, text string"
 COLUMNS = [c.split()[0] for c in NODE.split(", ")]
@@ -205,7 +206,11 @@ def escapes(tree: DataFrame) -> DataFrame:
 
 
 def findings(tree: DataFrame) -> DataFrame:
-    """Findings of rules MGTG on trees: analysis_id, path, rule, severity, line."""
+    """Findings of rules MGTG on trees: analysis_id, path, rule, severity, line. The tree is written once: each rule reads it, none parses again."""
+    return _found(cut(tree))
+
+
+def _found(tree: DataFrame) -> DataFrame:
     per = metrics(tree)
     out = []
 
@@ -233,7 +238,8 @@ def findings(tree: DataFrame) -> DataFrame:
 
 def file_health(tree: DataFrame) -> DataFrame:
     """Health of each file by its findings and metrics."""
-    n = findings(tree).groupBy(*KEY).agg(
+    tree = cut(tree)
+    n = _found(tree).groupBy(*KEY).agg(
         F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "info").alias("infos"), F.count_if(F.col("rule") == "MGTG-M000").alias("risks")
     )
     out = metrics(tree).join(n, KEY, "left").na.fill(0)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codetext import duplication_ratio
+from ..runtime import cut
 
 KEY = ["analysis_id", "path"]
 FUNCTION = "analysis_id string, path string, name string, line int, body_lines int, kind string, definition string"
@@ -97,9 +98,9 @@ def calls(funcs: DataFrame) -> DataFrame:
 
 def findings(files: DataFrame, top: int | None = None) -> DataFrame:
     """Findings of the repair rules: analysis_id, path, engine, rule, severity, line; per engine and file the first ``top`` (None: its reporting limit, 0: all)."""
-    f = functions(files)
-    s = spans(f, lines(files))
-    c = calls(f)
+    f = cut(functions(files))  # what several rules read is computed once
+    s = cut(spans(f, lines(files)))
+    c = cut(calls(f))
     test = F.col("path").rlike("test|spec")
     out: list[DataFrame] = []
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import IMPORT_LANGUAGES, IR_LANGUAGES, is_bug_fix, is_test_path, language_of
 from ..operators import process as P
-from ..runtime import table
+from ..runtime import cut, table
 from .problems import _NORMAL, _RESOLVED
 
 
@@ -61,8 +61,8 @@ def hotspots_top10(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = P.changes_of(spark, d)
-    features = P.jit_features(rows)
+    rows = cut(P.changes_of(spark, d))  # features and pairs read the changes, findings and risk the features
+    features = cut(P.jit_features(rows))
     return P.findings(features, P.co_changes(rows), P.commits_of(spark, d)), features
 
 
