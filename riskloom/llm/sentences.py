@@ -373,7 +373,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         yield _frame(found)
 
     raw = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInPandas(count, "lang string, kind string, w string, ws string, t string, ts string, n long")
-    counts = raw.groupBy("lang", "kind", "w", "ws", "t", "ts").agg(F.sum("n").alias("n"))
+    counts = cut(raw.groupBy("lang", "kind", "w", "ws", "t", "ts").agg(F.sum("n").alias("n")))  # else every use below counts all texts again
 
     def kept(df: DataFrame, by: list[str], key: str, shape_: str, share: float, floor: int) -> DataFrame:
         """df with ``key`` replaced by its shape where it holds less than ``share`` of its group."""
