@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codetext import _strip, health
 from ..functions.text import IR_LANGUAGES, language_of
-from ..runtime import cut
+from ..runtime import cut, spread
 
 NODE = "analysis_id string, path string, node int, parent int, kind string, name string, line int, depth int, nest int, loop_depth int, func string, has_else boolean, returns boolean, text string"
 COLUMNS = [c.split()[0] for c in NODE.split(", ")]
@@ -166,7 +166,7 @@ def nodes(files: DataFrame) -> DataFrame:
                 out += [[a, p, *r] for r in found]
             yield pd.DataFrame(out, columns=COLUMNS)
 
-    return rows.mapInPandas(parse, NODE)
+    return spread(rows).mapInPandas(parse, NODE)
 
 
 KEY = ["analysis_id", "path"]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codetext import duplication_ratio
-from ..runtime import cut
+from ..runtime import cut, spread
 
 KEY = ["analysis_id", "path"]
 FUNCTION = "analysis_id string, path string, name string, line int, body_lines int, kind string, definition string"
@@ -68,7 +68,8 @@ def functions(files: DataFrame) -> DataFrame:
             rows = [(a, p, *f) for a, p, t in zip(batch["analysis_id"], batch["path"], batch["content"]) for f in _functions(t)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FUNCTION.split(", ")])
 
-    return files.select(*KEY, "content").where("content IS NOT NULL AND analysis_id IS NOT NULL AND path IS NOT NULL").mapInPandas(find, FUNCTION)
+    rows = files.select(*KEY, "content").where("content IS NOT NULL AND analysis_id IS NOT NULL AND path IS NOT NULL")
+    return spread(rows).mapInPandas(find, FUNCTION)
 
 
 def lines(files: DataFrame) -> DataFrame:

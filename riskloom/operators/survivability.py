@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import codetext as T
 from ..functions import queueing as Q
 from ..functions.text import runtime_of
+from ..runtime import cut, spread
 
 #: Runtimes: mean expansion of payloads, concurrent requests, memory in MB, requests per second (fixed values).
 RUNTIMES = {"jvm": (6.5, 200.0, 512.0, 2000.0), "node": (4.0, 4.0, 256.0, 1000.0), "python": (8.0, 8.0, 128.0, 500.0), "rust": (2.75, 512.0, 128.0, 5000.0), "go": (3.5, 1000.0, 128.0, 4000.0)}
@@ -29,7 +30,7 @@ def profiles(files: DataFrame) -> DataFrame:
     extra_alloc = F.when(F.col("runtime") == "node", T.occurrences(text, "await ")).when(F.col("runtime") == "python", T.occurrences(text, "yield")).when(F.col("runtime") == "go", T.occurrences(text, "make(")).otherwise(0)
     extra_branch = F.when(F.col("runtime") == "node", T.occurrences(text, ".then(")).when(F.col("runtime") == "rust", T.occurrences(text, "unwrap(") + T.occurrences(text, "expect(")).when(F.col("runtime") == "go", T.occurrences(text, "err != nil")).otherwise(0)
     return (
-        files.where(text.isNotNull())
+        spread(files.where(text.isNotNull()))
         .withColumn("runtime", runtime)
         .withColumns({"loops": loops, "loop_depth": F.when(F.col("runtime") == "python", T.indent_nesting(text)).otherwise(T.brace_nesting(text)), "branches": T.count_all(text, T.BRANCHES) + extra_branch, "functions": T.count_all(text, T.FUNCTIONS), "allocations": T.count_allocations(text) + extra_alloc, "bytes": F.octet_length(text)})
         .withColumn("class", T.complexity_class(F.col("loops"), F.col("loop_depth")))
@@ -38,7 +39,12 @@ def profiles(files: DataFrame) -> DataFrame:
 
 
 def scores(profiles: DataFrame, rps: float = 100.0, memory_mb: float | None = None) -> DataFrame:
-    """Survivability of profiled files under ``rps`` requests per second: 1 minus the largest of six risks."""
+    """Survivability of profiled files under ``rps`` requests per second: 1 minus the largest of six risks.
+
+    Profiles are written first: the risks use each of their columns several times, and the optimizer would merge the
+    projections and count every pattern again for each use.
+    """
+    profiles = cut(profiles)
     runtime, risk = F.col("runtime"), T.class_risk(F.col("class"))
     zero, one = F.lit(0.0), F.lit(1.0)
     lam = F.lit(float(rps))
