@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import normal_hash, table
+from ..runtime import normal_hash, spread, table
 from .cooccurrence import together
 from .encoding import encode_text
 from .handwritten import not_handwritten
@@ -44,7 +44,7 @@ def p3_files(spark: SparkSession, d: str) -> DataFrame:
     """Files that no one on the project wrote by hand, with the evidence."""
     columns = ("analysis_id", "file_path")
     paths = table(spark, d, "dep_nodes", *columns).distinct().unionByName(table(spark, d, "process_file_changes", *columns).distinct())
-    return not_handwritten(paths, table(spark, d, "source_files", "analysis_id", "path", "content"))
+    return not_handwritten(paths, spread(table(spark, d, "source_files", "analysis_id", "path", "content")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k; null and empty texts have the empty list."""
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = spread(table(spark, d, "documents", "doc_id", "text"))
     return docs.select("doc_id", encode_text(spark, F.col("text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken").alias("ids"))
 
 
@@ -76,7 +76,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_spans(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text"))
+    return leaked_spans(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "eval_items", "item_id", "text"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Ends of the sentence units of every document."""
-    return sentence_ends(table(spark, d, "documents", "doc_id", "text", "lang"))
+    return sentence_ends(spread(table(spark, d, "documents", "doc_id", "text", "lang")))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_files, p5_found, p5_people, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}
