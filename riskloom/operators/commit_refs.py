@@ -43,6 +43,6 @@ def resolve(rows: DataFrame, commits: DataFrame) -> DataFrame:
     is_short = F.length("ref").between(SHORT_MIN, SHORT_MAX)
     plain = rows.where(F.col("ref").isNull() | ~is_short).withColumn("hash", F.col("ref"))
     some = rows.where(is_short)
-    found = short_refs(some, commits).withColumnRenamed("hash", "resolved")
+    found = short_refs(some, commits).withColumnRenamed("hash", "__resolved")
     joined = join_measured(some, found, ["analysis_id", "ref"], "left")
-    return plain.unionByName(joined.withColumn("hash", F.coalesce("resolved", "ref")).drop("resolved"))
+    return plain.unionByName(joined.withColumn("hash", F.coalesce("__resolved", "ref")).drop("__resolved"))

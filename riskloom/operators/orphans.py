@@ -55,12 +55,15 @@ def orphan_keys(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, r
     per range the bitmaps are combined (reference AND-NOT parents known so far) and the surviving bits are decoded and
     joined back to the dictionary. Bitmaps of one range are as many as there are months, so no group is unbounded.
 
-    Result: keys, first_at (earliest ``at`` of a parent, null if there is none).
+    Result: keys, __first_at (earliest ``at`` of a parent, null if there is none).
     """
     rows = refs.count() + parents.count() if rows is None else rows
     buckets = max(1, -(-rows // ROWS_PER_BUCKET))
-    month = (F.year(at) * 12 + F.month(at)).cast("int")
     none = F.lit(None)
+    names = keys
+    keys = [f"__k{i}" for i in range(len(names))]  # no name of the caller meets one of ours
+    refs, parents = (df.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col(at).alias("__at")) for df in (refs, parents))
+    at, month = "__at", (F.year("__at") * 12 + F.month("__at")).cast("int")
     both = refs.select(*keys, none.cast("timestamp_ntz").alias("first_at"), month.alias("period")).unionByName(
         parents.select(*keys, F.col(at).cast("timestamp_ntz").alias("first_at"), none.cast("int").alias("period"))
     )
@@ -81,7 +84,7 @@ def orphan_keys(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, r
         .agg(F.collect_list(F.struct("is_ref", "period", "bits")).alias("maps"))
     )
     bits = maps.select("bucket", "range", F.explode(_survivors("maps")).alias("s")).select("bucket", (F.col("range") * RANGE + F.col("s.bit")).cast("int").alias("id"))
-    return coded.join(bits, ["bucket", "id"], "left_semi").select(*keys, "first_at")
+    return coded.join(bits, ["bucket", "id"], "left_semi").select(*[F.col(k).alias(n) for n, k in zip(names, keys)], F.col("first_at").alias("__first_at"))
 
 
 def orphan_rows(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, join, rows: int | None = None) -> DataFrame:
@@ -93,5 +96,6 @@ def orphan_rows(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, j
     refs = refs.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
     parents = parents.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
     hit = join(refs, orphan_keys(refs, parents, keys, at, rows), keys)
-    late = F.col("first_at") > F.col(at).cast("timestamp_ntz")
-    return hit.where(F.col("first_at").isNull() | late).withColumn("state", F.when(F.col("first_at").isNull(), F.lit("missing")).otherwise(F.lit("late")))
+    first = F.col("__first_at")
+    late = first > F.col(at).cast("timestamp_ntz")
+    return hit.where(first.isNull() | late).withColumn("state", F.when(first.isNull(), F.lit("missing")).otherwise(F.lit("late"))).drop("__first_at")

@@ -41,9 +41,9 @@ def test_orphans_equal_brute_force(spark):
     for t, k, a in parents:
         first[t, k] = min(a, first.get((t, k), a))
     want = {(i, "missing" if (t, k) not in first else "late") for i, t, k, a, _ in refs if k is not None and ((t, k) not in first or first[t, k] > a)}
-    r = spark.createDataFrame(refs, "row_id long, tab string, key string, loaded_at timestamp_ntz, first_at string").drop("first_at")
-    p = spark.createDataFrame(parents, "tab string, key string, loaded_at timestamp_ntz")
-    got = orphan_rows(r, p, ["tab", "key"], "loaded_at", join_measured).select("row_id", "state").collect()
+    r = spark.createDataFrame(refs, "row_id long, bucket string, id string, loaded_at timestamp_ntz, first_at string")
+    p = spark.createDataFrame(parents, "bucket string, id string, loaded_at timestamp_ntz")
+    got = orphan_rows(r, p, ["bucket", "id"], "loaded_at", join_measured).select("row_id", "state").collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want)
-    assert orphan_rows(r.limit(0), p, ["tab", "key"], "loaded_at", join_measured).count() == 0
-    assert orphan_rows(r, p.limit(0), ["tab", "key"], "loaded_at", join_measured).count() == sum(k is not None for _, _, k, _, _ in refs)
+    assert orphan_rows(r.limit(0), p, ["bucket", "id"], "loaded_at", join_measured).count() == 0
+    assert orphan_rows(r, p.limit(0), ["bucket", "id"], "loaded_at", join_measured).count() == sum(k is not None for _, _, k, _, _ in refs)
