@@ -31,12 +31,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return together(_changes(spark, d), "analysis_id", "commit_hash", "file_path", 6, 4).select("analysis_id", F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
 
 
-def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of files with at least two common commits, with counts and ratio to chance."""
-    out = together(_changes(spark, d), "analysis_id", "commit_hash", "file_path", 2)
+def _scored_pairs(spark: SparkSession, d: str, min_together: int) -> DataFrame:
+    out = together(_changes(spark, d), "analysis_id", "commit_hash", "file_path", min_together)
     return out.select("analysis_id", F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"), "n_baskets", "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("jaccard", 6).alias("jaccard"))
 
 
+def p1_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of files changed together, be it once, with counts and ratio to chance."""
+    return _scored_pairs(spark, d, 1)
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p1_all_pairs with at least two common commits, as its SQL has them."""
+    return _scored_pairs(spark, d, 2)
+
+
 # 3: generated, minified and vendored files
 
 
@@ -101,7 +110,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_ends(spread(table(spark, d, "documents", "doc_id", "text", "lang")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_files, p5_found, p5_people, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_all_pairs, p1_pairs, p3_found, p3_files, p5_found, p5_people, p8_ids, p9_found, p9_spans, p9_clean, p10_found)}
 
 _PAIRS = r"""
 c AS (SELECT DISTINCT analysis_id, lower(regexp_replace(commit_hash, '^\s+|\s+$', '', 'g')) AS h, file_path FROM process_file_changes WHERE commit_hash IS NOT NULL),
@@ -115,6 +124,8 @@ pairs AS (SELECT p.*, n_baskets, a.n AS n_a, b.n AS n_b FROM p JOIN t USING (ana
 
 SQL = {
     "p1_found": f"WITH {_PAIRS} SELECT analysis_id, file_a, file_b FROM pairs WHERE n_ab >= 6 AND n_ab * n_baskets >= 4 * n_a * n_b",
+    "p1_all_pairs": f"""WITH {_PAIRS} SELECT analysis_id, file_a, file_b, n_baskets, n_a, n_b, n_ab, round(n_ab * n_baskets / (n_a * n_b), 6) AS lift,
+        round(n_ab / (n_a + n_b - n_ab), 6) AS jaccard FROM pairs""",
     "p1_pairs": f"""WITH {_PAIRS} SELECT analysis_id, file_a, file_b, n_baskets, n_a, n_b, n_ab, round(n_ab * n_baskets / (n_a * n_b), 6) AS lift,
         round(n_ab / (n_a + n_b - n_ab), 6) AS jaccard FROM pairs WHERE n_ab >= 2""",
 }
