@@ -15,6 +15,7 @@ def eager_join_aggregate(
     by: list[str],
     sums: list[str] = (),
     maxima: list[str] = (),
+    how: str = "inner",
 ) -> DataFrame:
     """Aggregate of ``left JOIN right ON on GROUP BY by`` without ever forming the joined rows.
 
@@ -26,20 +27,31 @@ def eager_join_aggregate(
     Result: by, joined_rows (long), sum_<c> for each c in sums, max_<c> for each c in maxima.
     Null in ``on`` never joins; null in ``by`` forms a group; null measures count as absent (a sum of nothing but
     nulls is null); repeated rows of either side count as often as they stand; an empty input gives no rows.
+
+    ``how="left"`` keeps every value of by: beside the columns above, which are 0 (joined_rows) or null where no row has a
+    partner, it gives rows, all_sum_<c> and all_max_<c> over the rows of left alone, each once; null in ``on`` counts there too.
     """
+    if how not in ("inner", "left"):
+        raise ValueError(f"how must be inner or left, not {how}")
     keys = list(dict.fromkeys([*on, *by]))
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    states = left.where(known).groupBy(*keys).agg(
+    states = (left.where(known) if how == "inner" else left).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(c).alias(f"__s_{c}") for c in sums],
         *[F.max(c).alias(f"__m_{c}") for c in maxima],
     )
     partners = right.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("__k"))
-    joined = states.join(partners, on)
+    joined = states.join(partners, on, how)
+    own = [] if how == "inner" else [
+        F.sum("__n").alias("rows"),
+        *[F.sum(f"__s_{c}").alias(f"all_sum_{c}") for c in sums],
+        *[F.max(f"__m_{c}").alias(f"all_max_{c}") for c in maxima],
+    ]
     return joined.groupBy(*by).agg(
-        F.sum(F.col("__n") * F.col("__k")).alias("joined_rows"),
+        F.sum(F.col("__n") * F.coalesce("__k", F.lit(0))).alias("joined_rows"),
         *[F.sum(F.col(f"__s_{c}") * F.col("__k")).alias(f"sum_{c}") for c in sums],
-        *[F.max(f"__m_{c}").alias(f"max_{c}") for c in maxima],
+        *[F.max(F.when(F.col("__k").isNotNull(), F.col(f"__m_{c}"))).alias(f"max_{c}") for c in maxima],
+        *own,
     )
 
 

@@ -49,6 +49,22 @@ def p2_fan_in(spark: SparkSession, d: str) -> DataFrame:
     return eager_join_aggregate(edges, nodes, ["analysis_id", "id"], ["id"], maxima=["line"]).select(F.col("id").alias("target_id"), F.col("joined_rows").alias("fan_in"), F.col("max_line"))
 
 
+def p2_all_file_results(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of every file over all its change rows and over those of a known commit; short hashes are resolved, a commit loaded twice counts once."""
+    commits = table(spark, d, "process_commits", "analysis_id", "hash").select("analysis_id", normal_hash("hash").alias("hash")).where(F.col("hash").isNotNull()).distinct()
+    rows = table(spark, d, "process_file_changes", "analysis_id", "commit_hash", "file_path", "lines_added", "lines_deleted").select("analysis_id", normal_hash("commit_hash").alias("ref"), "file_path", "lines_added", "lines_deleted")
+    out = eager_join_aggregate(resolve(rows, commits), commits, ["analysis_id", "hash"], ["file_path"], ["lines_added", "lines_deleted"], ["lines_added"], "left")
+    return out.withColumnRenamed("rows", "n_changes")
+
+
+def p2_all_fan_in(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of every target (fan_in), be it a node or not, and beside them the rows of the edges joined to the nodes as they stand."""
+    edges = table(spark, d, "dep_edges", "analysis_id", "target_id", "line").withColumnRenamed("target_id", "id")
+    nodes = table(spark, d, "dep_nodes", "analysis_id", "id")
+    out = eager_join_aggregate(edges, nodes, ["analysis_id", "id"], ["id"], maxima=["line"], how="left")
+    return out.select(F.col("id").alias("target_id"), F.col("rows").alias("fan_in"), "joined_rows", F.col("all_max_line").alias("max_line"))
+
+
 # 4: sessions
 
 
@@ -127,7 +143,7 @@ def p7_by_month(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy("ref_table", month, "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_shares, p2_file_results, p2_fan_in, p4_found, p4_sessions, p6_found, p6_rolling, p7_found, p7_by_month)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_shares, p2_all_file_results, p2_all_fan_in, p2_file_results, p2_fan_in, p4_found, p4_sessions, p6_found, p6_rolling, p7_found, p7_by_month)}
 
 _NORMAL = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 
@@ -186,6 +202,14 @@ SQL = {
         FROM process_file_changes x JOIN process_commits c ON c.analysis_id = x.analysis_id AND {_NORMAL.format('c.hash')} = {_NORMAL.format('x.commit_hash')} GROUP BY ALL""",
     "p2_fan_in": """SELECT e.target_id, count(*) AS fan_in, max(e.line) AS max_line FROM dep_edges e
         JOIN dep_nodes n ON n.analysis_id = e.analysis_id AND n.id = e.target_id GROUP BY ALL""",
+    "p2_all_file_results": f"""WITH {_RESOLVED},
+        x AS (SELECT r.file_path, r.lines_added AS a, r.lines_deleted AS d, c.h IS NOT NULL AS known FROM resolved r LEFT JOIN commits c ON c.analysis_id = r.analysis_id AND c.h = r.h
+              UNION ALL SELECT file_path, lines_added, lines_deleted, false FROM process_file_changes WHERE commit_hash IS NULL)
+        SELECT file_path, count(*) AS n_changes, count(*) FILTER (known) AS joined_rows, CAST(sum(a) AS BIGINT) AS all_sum_lines_added, CAST(sum(d) AS BIGINT) AS all_sum_lines_deleted, max(a) AS all_max_lines_added,
+        CAST(sum(a) FILTER (known) AS BIGINT) AS sum_lines_added, CAST(sum(d) FILTER (known) AS BIGINT) AS sum_lines_deleted, max(a) FILTER (known) AS max_lines_added FROM x GROUP BY ALL""",
+    "p2_all_fan_in": """WITH n AS (SELECT analysis_id, id, count(*) AS k FROM dep_nodes GROUP BY ALL)
+        SELECT e.target_id, count(*) AS fan_in, CAST(coalesce(sum(n.k), 0) AS BIGINT) AS joined_rows, max(e.line) AS max_line FROM dep_edges e
+        LEFT JOIN n ON n.analysis_id = e.analysis_id AND n.id = e.target_id GROUP BY ALL""",
     "p4_found": f"WITH {_SESSIONS} SELECT author_email, start_ms, end_ms FROM sessions",
     "p4_sessions": f"WITH {_SESSIONS} SELECT * FROM sessions",
     "p6_found": f"WITH {_DAILY} SELECT analysis_id, day FROM rolling WHERE 2 * s7 > s30",
