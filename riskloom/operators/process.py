@@ -114,13 +114,14 @@ def co_changes(changes: DataFrame) -> DataFrame:
     return a.join(b, ["analysis_id", "hash"]).where(F.col("file_a") < F.col("file_b")).groupBy("analysis_id", "file_a", "file_b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def co_changes_by_file(pairs: DataFrame, most: int = 5) -> DataFrame:
-    """For each file its ``most`` most frequent companions, ranked by count and path (a top-k report)."""
+def co_changes_by_file(pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """For each file its companions, ranked by count and path: all of them, or the ``most`` most frequent."""
     both = pairs.select("analysis_id", F.col("file_a").alias("file_path"), F.col("file_b").alias("with_file"), "n").unionByName(
         pairs.select("analysis_id", F.col("file_b").alias("file_path"), F.col("file_a").alias("with_file"), "n")
     )
     order = Window.partitionBy(*FILE).orderBy(F.desc("n"), "with_file")
-    return both.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    ranked = both.withColumn("place", F.row_number().over(order))
+    return ranked if most is None else ranked.where(F.col("place") <= most)
 
 
 def findings(features: DataFrame, pairs: DataFrame, commits: DataFrame) -> DataFrame:

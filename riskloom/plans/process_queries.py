@@ -52,10 +52,16 @@ def cochange_top20(spark: SparkSession, d: str) -> DataFrame:
     return cochange_pairs(spark, d).orderBy(F.desc("n"), "analysis_id", "file_a", "file_b").limit(20)
 
 
-def cochange_by_file(spark: SparkSession, d: str) -> DataFrame:
+def cochange_all_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """All companions of every file with their place."""
     return P.co_changes_by_file(cochange_pairs(spark, d))
 
 
+def cochange_by_file(spark: SparkSession, d: str) -> DataFrame:
+    """The first five of cochange_all_by_file, as its SQL has them."""
+    return P.co_changes_by_file(cochange_pairs(spark, d), 5)
+
+
 def hotspots_top10(spark: SparkSession, d: str) -> DataFrame:
     return P.jit_features(P.changes_of(spark, d)).orderBy(F.desc("revisions"), "analysis_id", "file_path").select(*P.FILE, "revisions", "bug_fix_commits").limit(10)
 
@@ -98,7 +104,7 @@ def commit_walk(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (jit_features, changes, changes_averaged, change_entropy, entropy_window_90d, author_ownership, minor_contributors, cochange_pairs, cochange_top20, cochange_by_file, hotspots_top10, process_findings, process_risk, severity_counts, bug_fix_commits, file_languages, latest_analysis, commit_walk)
+    for f in (jit_features, changes, changes_averaged, change_entropy, entropy_window_90d, author_ownership, minor_contributors, cochange_pairs, cochange_top20, cochange_all_by_file, cochange_by_file, hotspots_top10, process_findings, process_risk, severity_counts, bug_fix_commits, file_languages, latest_analysis, commit_walk)
 }
 
 _BUG = "regexp_matches(lower(message), 'fix|bug|crash|defect|error|hotfix|patch|issue|#')"
@@ -159,6 +165,7 @@ SQL = {
     "minor_contributors": f"WITH {JIT} SELECT analysis_id, file_path, count(*) AS n FROM (SELECT *, sum(churn) OVER (PARTITION BY analysis_id, file_path) AS t FROM au) WHERE CASE WHEN t > 0 THEN churn / t ELSE 0 END < 0.05 GROUP BY ALL",
     "cochange_pairs": f"WITH {CHANGES}, {_PAIRS} SELECT * FROM pairs",
     "cochange_top20": f"WITH {CHANGES}, {_PAIRS} SELECT * FROM pairs ORDER BY n DESC, analysis_id, file_a, file_b LIMIT 20",
+    "cochange_all_by_file": f"WITH {CHANGES}, {_PAIRS} SELECT *, row_number() OVER (PARTITION BY analysis_id, file_path ORDER BY n DESC, with_file) AS place FROM {_BY_FILE}",
     "cochange_by_file": f"WITH {CHANGES}, {_PAIRS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, file_path ORDER BY n DESC, with_file) AS place FROM {_BY_FILE}) WHERE place <= 5",
     "hotspots_top10": f"WITH {JIT} SELECT analysis_id, file_path, revisions, bug_fix_commits FROM jit ORDER BY revisions DESC, analysis_id, file_path LIMIT 10",
     "process_findings": f"WITH {FINDINGS} SELECT * FROM findings",
