@@ -16,11 +16,10 @@ from .sources.snapshot import snapshot
 def analyze(spark: SparkSession, paths: list[str], names: str | None, form: str, max_commits: int | None, folder: str) -> str:
     """The analysis of repositories as text; their tables stay below folder."""
     snapshot(spark, paths, folder, max_commits)
-    result = engines.summary(engines.orchestrator().run(spark, folder, parse_engines(names)))
+    results = engines.orchestrator().run(spark, folder, parse_engines(names))
     if form == "sarif":
-        rows = [(f.get("rule") or f.get("id"), f["severity"], f["message"], f["file_path"], int(f["line"] or 1)) for f in result["findings"]]
-        return sinks.sarif(spark.createDataFrame(rows, "rule string, severity string, message string, file_path string, line int"))
-    return engines.as_text(result, form)
+        return sinks.sarif(engines.all_findings(spark, results))
+    return engines.as_text(engines.summary(results, shown=form == "pretty"), form)
 
 
 def main(args: list[str]) -> int:

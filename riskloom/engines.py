@@ -9,24 +9,30 @@ from pyspark.sql import functions as F
 
 from .functions.text import severity_rank
 from .operators import code_ir, repair, survivability
-from .operators.fusion import EngineResult, Orchestrator
+from .operators.fusion import EngineResult, Orchestrator, union_findings
 from .plans import graph_queries, model_queries, process_queries
 from .runtime import cut, table
 
-#: Findings of one engine that are reported; all are counted.
+#: Findings of one engine that the pretty text shows, beside the number of all; JSON and SARIF have all.
 SHOWN = 200
 
+FOUND = "rule string, severity string, file_path string, line int, message string, engine string"
+
+
+def _worst_first(found: DataFrame) -> DataFrame:
+    return found.orderBy("engine", F.desc(severity_rank(F.col("severity"))), "rule", "file_path", "line", "message")
+
 
 def _result(engine: str, found: DataFrame, risk: float, blocked: bool = False) -> EngineResult:
-    """The engine's result with its worst findings (a top-k report)."""
+    """The engine's result with all its findings as a table, their number, and the worst of them to show."""
     have = set(found.columns)
     path = "file_path" if "file_path" in have else "path" if "path" in have else None
     rows = found.select(
-        F.col("rule"), "severity", (F.col(path) if path else F.lit("")).alias("file_path"), (F.col("line") if "line" in have else F.lit(1)).alias("line"), (F.col("message") if "message" in have else F.col("rule")).alias("message")
+        F.col("rule"), "severity", (F.col(path) if path else F.lit("")).alias("file_path"), (F.col("line") if "line" in have else F.lit(1)).cast("int").alias("line"), (F.col("message") if "message" in have else F.col("rule")).alias("message"), F.lit(engine).alias("engine")
     )
-    worst = rows.orderBy(F.desc(severity_rank(F.col("severity"))), "rule", "file_path", "line").limit(SHOWN)
-    findings = [r.asDict() | {"engine": engine} for r in worst.collect()]
-    return EngineResult(engine, risk=float(min(1.0, max(0.0, risk or 0.0))), blocked=blocked, findings=findings)
+    rows = cut(rows)
+    shown = [r.asDict() for r in _worst_first(rows).limit(SHOWN).collect()]
+    return EngineResult(engine, risk=float(min(1.0, max(0.0, risk or 0.0))), blocked=blocked, findings=shown, found=rows, total=rows.count())
 
 
 def _worst(found: DataFrame, high: float, low: float) -> float:
@@ -77,18 +83,27 @@ def orchestrator() -> Orchestrator:
     return Orchestrator({"process": process, "dependency": dependency, "mgtg": mgtg, "rse": rse, "ml": ml} | {n: _repair(n, *r) for n, r in repairs.items()})
 
 
-def summary(results: list[EngineResult]) -> dict:
-    """Fused result: mean risk of the engines that succeeded, all findings, whether the merge is blocked."""
+def all_findings(spark: SparkSession, results: list[EngineResult]) -> DataFrame:
+    """All findings of all engines, failures among them."""
+    failed = [(f.get("rule") or f.get("id"), f["severity"], f["file_path"], int(f["line"] or 0), f["message"], r.engine) for r in results if r.found is None for f in r.findings]
+    return _worst_first(union_findings([spark.createDataFrame(failed, FOUND), *[r.found for r in results if r.found is not None]]))
+
+
+def summary(results: list[EngineResult], shown: bool = False) -> dict:
+    """Fused result: mean risk of the engines that succeeded, all findings, whether the merge is blocked. ``shown``: only the findings to show, with the number of all by engine."""
     good = [r for r in results if r.status == "ok"]
     risk = min(1.0, sum(r.risk for r in good) / len(good)) if good else 0.0
-    return {"risk": round(risk, 6), "blocked": any(r.blocked for r in results), "engines": {r.engine: {"status": r.status, "risk": r.risk} for r in results}, "findings": [f for r in results for f in r.findings]}
+    findings = [f for r in results for f in (r.findings if shown or r.found is None else (x.asDict() for x in _worst_first(r.found).toLocalIterator()))]
+    engines = {r.engine: {"status": r.status, "risk": r.risk, "findings": len(r.findings) if r.total is None else r.total} for r in results}
+    return {"risk": round(risk, 6), "blocked": any(r.blocked for r in results), "engines": engines, "findings": findings}
 
 
 def as_text(result: dict, form: str) -> str:
     """A fused result as pretty text or JSON."""
     if form == "json":
         return json.dumps(result, ensure_ascii=False)
-    lines = [f"risk {result['risk']:.2f}" + (", blocked" if result["blocked"] else ""), *[f"  {n}: {e['status']}, {e['risk']:.2f}" for n, e in result["engines"].items()]]
+    total = sum(e["findings"] for e in result["engines"].values())
+    lines = [f"risk {result['risk']:.2f}" + (", blocked" if result["blocked"] else ""), *[f"  {n}: {e['status']}, {e['risk']:.2f}, {e['findings']} findings" for n, e in result["engines"].items()]]
+    if len(result["findings"]) < total:
+        lines.append(f"the {len(result['findings'])} worst of {total} findings, at most {SHOWN} of an engine; JSON and SARIF have all")
     return "\n".join([*lines, *[f"{f['severity']:8} {f.get('rule') or f.get('id')} {f['file_path']}:{f['line']} {f['message']}" for f in result["findings"]]])
-
-

@@ -72,12 +72,16 @@ def checked_risk(risk):
 
 @dataclass
 class EngineResult:
+    """``found`` has all findings of the engine and ``total`` their number; ``findings`` are those to show, or the failure."""
+
     engine: str
     status: str = "ok"
     risk: float = 0.0
     blocked: bool = False
     findings: list = field(default_factory=list)
     message: str = ""
+    found: DataFrame | None = None
+    total: int | None = None
 
 
 class Orchestrator:
