@@ -48,7 +48,7 @@ def ml_auc(spark: SparkSession, d: str) -> DataFrame:
 def ml_train_sgd(spark: SparkSession, d: str) -> DataFrame:
     """A model of each analysis, trained in the order of paths on all features but the one that makes the label."""
     rows = P.jit_features(P.changes_of(spark, d)).withColumn("label", F.col("bug_fix_commits") >= DEFECTIVE)
-    return M.train(rows, "analysis_id", ["file_path"], [c for c in M.FEATURES if c != "bug_fix_commits"], epochs=30)
+    return M.train(rows, "analysis_id", ["file_path"], [c for c in M.FEATURES if c != "bug_fix_commits"])
 
 
 def _feedback(spark: SparkSession, d: str) -> DataFrame:
