@@ -27,6 +27,8 @@ _LOOP = re.compile(r"^(?:\}\s*)?(for|while|loop|do)\b(.*)")
 _FN = re.compile(r"^(?:export\s+)?(?:default\s+)?(?:pub(?:\([a-z]+\))?\s+)?(?:async\s+)?(?:unsafe\s+)?(?:fn|function)\s+([A-Za-z_$][\w$]*)")
 _LET = re.compile(r"^(?:let|var|const)\s+(?:mut\s+)?([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(.*)")
 _CALL = re.compile(r"([A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*)\s*\(")
+_STRING = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
+_EMPTY = re.compile(r"\s*(?:\{\s*\}|;)")
 _NOT_CALLS = frozenset("if for while match switch return fn function loop catch".split())
 
 
@@ -35,7 +37,7 @@ class _Rows:
         self.rows: list[list] = []
 
     def add(self, parent: int, kind: str, name: str, line: int, depth: int, nest: int, loops: int, func: str, has_else=None, returns=None, text: str = "") -> int:
-        self.rows.append([len(self.rows), parent, kind, name, line, depth, nest, loops, func, has_else, returns, text[:200]])
+        self.rows.append([len(self.rows), parent, kind, name, line, depth, nest, loops, func, has_else, returns, text])
         return len(self.rows) - 1
 
 
@@ -59,7 +61,8 @@ def python_nodes(source: str) -> list[list]:
         elif isinstance(n, (ast.If, ast.IfExp)):
             body = n.body if isinstance(n, ast.If) else []
             leaves = any(isinstance(x, (ast.Return, ast.Raise, ast.Continue, ast.Break)) for x in body)
-            empty = "empty" if body and all(isinstance(x, ast.Pass) for x in body) else ""
+            other = n.orelse if isinstance(n, ast.If) else []
+            empty = "empty" if any(b and all(isinstance(x, ast.Pass) for x in b) for b in (body, other)) else ""
             me = out.add(parent, "conditional", empty, line, depth, nest, loops, func, bool(n.orelse), leaves, ast.unparse(n.test))
             inner = (depth + 1, nest + 1, loops, func)
         elif isinstance(n, (ast.For, ast.AsyncFor, ast.While)):
@@ -88,11 +91,33 @@ def python_nodes(source: str) -> list[list]:
     return out.rows
 
 
+def _condition(text: str, at: int) -> tuple[str, bool]:
+    """The whole condition that begins at ``at``, over as many lines as it has, and whether the branch behind it is empty.
+
+    One in parentheses, with nothing but a block or statement behind them, ends with them; any other before its block.
+    """
+    i, depth, began = at, 0, text[at : at + 80].lstrip().startswith("(")
+    while i < len(text):
+        c = text[i]
+        if c in "\"'`" and (m := _STRING.match(text, i)):
+            i = m.end()
+            continue
+        if depth <= 0 and c in "{};":
+            break
+        depth += (c in "([{") - (c in ")]}")
+        i += 1
+        if began and c == ")" and depth == 0 and not re.match(r"\s*(?:&&|\|\||[=!<>]=|[.<>+*/%?-])", text[i : i + 80]):
+            break
+    return " ".join(text[at:i].split()), bool(_EMPTY.match(text, i))
+
+
 def brace_nodes(source: str) -> list[list]:
     """Nodes of languages with braces, line by line over text without comments and strings."""
     out, stack = _Rows(), []  # stack of (node, kind, brace level at which it closes)
     level, func = 0, ""
-    for no, raw in enumerate(_strip(source, False).split("\n"), 1):
+    whole, start = _strip(source, False), 0  # start: of the next line
+    for no, raw in enumerate(whole.split("\n"), 1):
+        here, start = start + len(raw) - len(raw.lstrip()), start + len(raw) + 1
         line = raw.strip()
         bare = re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'", "", line)
         while stack and level - (1 if bare.startswith("}") else 0) < stack[-1][2]:
@@ -107,14 +132,19 @@ def brace_nodes(source: str) -> list[list]:
         if m := _FN.match(bare):
             node, kind = out.add(parent, "function", m[1], *at), "function"
         elif m := _BRANCH.match(bare):
+            behind = here + (_BRANCH.match(line) or m).start(2)
             word = " ".join(m[1].split())
             if word in ("else", "else if") and out.rows:
                 last = next((r for r in reversed(out.rows) if r[2] == "conditional" and r[5] == len(stack)), None)
                 if last:
                     last[9] = True
+                    if word == "else" and _EMPTY.match(whole, behind):
+                        last[3] = "empty"
             if word != "else":
                 kind = "conditional"
-                node = out.add(parent, kind, "match" if word in ("match", "switch") else "", *at, word in ("match", "switch"), bool(re.search(r"\b(return|throw|break|continue|panic!)", bare)), m[2].rstrip("{ "))
+                test, empty = _condition(whole, behind)
+                many = word in ("match", "switch")
+                node = out.add(parent, kind, "match" if many else "empty" if empty else "", *at, many, bool(re.search(r"\b(return|throw|break|continue|panic!)", bare)), test)
             else:
                 kind = "else"
                 node = parent
@@ -223,7 +253,7 @@ def _found(tree: DataFrame) -> DataFrame:
     add(per.where("cognitive > 20"), "MGTG-C002", "info", one)
     branches = tree.where("kind = 'conditional'")
     add(branches.where("NOT has_else AND name <> 'match' AND NOT returns"), "MGTG-G000", "warning", F.col("line"))
-    add(branches.where("name = 'empty' AND lower(text) RLIKE 'null|undefined|none'"), "MGTG-G001", "warning", F.col("line"))
+    add(branches.where("(NOT has_else OR name = 'empty') AND lower(text) RLIKE 'null|undefined|none'"), "MGTG-G001", "warning", F.col("line"))
     add(branches.where("nest >= 3"), "MGTG-G002", "info", F.col("line"))
     add(per.where("loop_nesting > 2"), "MGTG-P000", "info", one)
     add(recursive(tree), "MGTG-P001", "info", one)
