@@ -10,7 +10,7 @@ from ..operators.hot_keys import eager_join_aggregate, heavy_keys, key_shares
 from ..operators.orphans import orphan_rows
 from ..operators.rolling import trailing_totals
 from ..operators.sessions import sessionize
-from ..runtime import join_measured, normal_hash, table
+from ..runtime import cut, join_measured, normal_hash, table
 
 GAP_MS = 90 * 60_000
 
@@ -111,6 +111,17 @@ def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
     return out.select("analysis_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("value").alias("changed"), "s7", F.round("avg7", 6).alias("avg7"), "s30", F.round("avg30", 6).alias("avg30"))
 
 
+def p6_all_rolling(spark: SparkSession, d: str) -> DataFrame:
+    """Trailing 7- and 30-day totals and averages of lines added, of lines deleted and of their sum for every day of every analysis."""
+    daily = cut(_daily_lines(spark, d).withColumn("changed", F.col("added") + F.col("deleted")))  # a row per day: read once for each measure
+    out = None
+    for c in ("added", "deleted", "changed"):
+        rolled = trailing_totals(daily, "analysis_id", "day", c)
+        one = rolled.select("analysis_id", "day", F.col("value").alias(c), *[(F.round(k, 6) if "avg" in k else F.col(k)).alias(f"{c}_{k}") for k in ("s7", "avg7", "s30", "avg30")])
+        out = one if out is None else out.join(one, ["analysis_id", "day"])
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_rolling(spark, d).where(F.col("s7") * 2 > F.col("s30")).select("analysis_id", "day")
 
@@ -143,7 +154,7 @@ def p7_by_month(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).groupBy("ref_table", month, "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_key_shares, p2_all_file_results, p2_all_fan_in, p2_file_results, p2_fan_in, p4_found, p4_sessions, p6_found, p6_rolling, p7_found, p7_by_month)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_key_shares, p2_all_file_results, p2_all_fan_in, p2_file_results, p2_fan_in, p4_found, p4_sessions, p6_found, p6_all_rolling, p6_rolling, p7_found, p7_by_month)}
 
 _NORMAL = r"lower(regexp_replace({}, '^\s+|\s+$', '', 'g'))"
 
@@ -170,6 +181,19 @@ rolling AS (SELECT analysis_id, strftime(day, '%Y-%m-%d') AS day, changed,
             CAST(sum(changed) OVER (PARTITION BY analysis_id ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS s30 FROM dense)
 """
 
+_SPAN = "OVER (PARTITION BY analysis_id ORDER BY day ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+_EACH = ", ".join(
+    f"{c}, CAST(sum({c}) {_SPAN.format(6)} AS BIGINT) AS {c}_s7, round(sum({c}) {_SPAN.format(6)} / 7, 6) AS {c}_avg7, "
+    f"CAST(sum({c}) {_SPAN.format(29)} AS BIGINT) AS {c}_s30, round(sum({c}) {_SPAN.format(29)} / 30, 6) AS {c}_avg30"
+    for c in ("added", "deleted", "changed")
+)
+_ALL_DAILY = f"""{_DAILY},
+two AS (SELECT x.analysis_id, CAST(epoch_ms(c.ts) AS DATE) AS day, CAST(sum(a) AS BIGINT) AS added, CAST(sum(d) AS BIGINT) AS deleted
+        FROM changes x JOIN commits c ON c.analysis_id = x.analysis_id AND c.h = x.h WHERE c.ts IS NOT NULL GROUP BY ALL),
+full_days AS (SELECT k.analysis_id, k.day, coalesce(x.added, 0) AS added, coalesce(x.deleted, 0) AS deleted, coalesce(x.added, 0) + coalesce(x.deleted, 0) AS changed
+              FROM calendar k LEFT JOIN two x ON x.analysis_id = k.analysis_id AND x.day = k.day)
+"""
+
 _SESSIONS = f"""
 e AS (SELECT lower(author_email) AS author_email, timestamp_ms AS ts, analysis_id, {_NORMAL.format('hash')} AS h, row_id FROM process_commits
       WHERE author_email IS NOT NULL AND timestamp_ms IS NOT NULL),
@@ -213,6 +237,7 @@ SQL = {
     "p4_found": f"WITH {_SESSIONS} SELECT author_email, start_ms, end_ms FROM sessions",
     "p4_sessions": f"WITH {_SESSIONS} SELECT * FROM sessions",
     "p6_found": f"WITH {_DAILY} SELECT analysis_id, day FROM rolling WHERE 2 * s7 > s30",
+    "p6_all_rolling": f"WITH {_ALL_DAILY} SELECT analysis_id, strftime(day, '%Y-%m-%d') AS day, {_EACH} FROM full_days",
     "p6_rolling": f"WITH {_DAILY} SELECT analysis_id, day, changed, s7, round(s7 / 7, 6) AS avg7, s30, round(s30 / 30, 6) AS avg30 FROM rolling",
     "p7_found": f"WITH {_ORPHANS} SELECT ref_table, row_id, state FROM orphans",
     "p7_by_month": f"WITH {_ORPHANS} SELECT ref_table, strftime(loaded_at, '%Y-%m') AS month, state, count(*) AS n FROM orphans GROUP BY ALL",
