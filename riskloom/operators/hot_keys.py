@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 
 def eager_join_aggregate(
     left: DataFrame,
@@ -55,27 +57,28 @@ def eager_join_aggregate(
     )
 
 
-def key_shares(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
-    """Rows of each key value and its share of all rows of its table.
+def key_shares(joins: dict[str, tuple[DataFrame, DataFrame, list[str], str]]) -> DataFrame:
+    """Rows of each key value, its share of all rows of its table, and the rows it has in a join of that table.
 
-    ``tables`` maps a name to (frame, key column). Both inputs of the join are aggregated first: rows to one state
-    per value (map-side), and these states to one total per table. The totals have one row per entry of ``tables``,
-    which is the proven bound under which they are broadcast.
+    ``joins`` maps a name to (left, right, join columns, key column of left). Rows come from eager_join_aggregate: both
+    inputs are reduced to compact states by join key, the states are joined and rolled up to one row per value, which holds
+    the rows of left as they stand (``n``) and the multiplied counts (``joined_rows``). The totals have one row per
+    entry of ``joins``, which is the proven bound under which they are broadcast.
 
-    Result: ref_table, key_value (null included), n (rows), total, share. Rows count as they stand.
+    Result: ref_table, key_value (null included), n (rows), joined_rows, total, share.
     """
-    states = reduce(
-        DataFrame.unionByName,
-        [
-            df.groupBy(F.col(key).alias("key_value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("ref_table"), "key_value", "n")
-            for name, (df, key) in tables.items()
-        ],
-    )
+    rolled = []
+    for name, (left, right, on, key) in joins.items():
+        ours = [f"__on{i}" for i in range(len(on))]  # no name of the caller meets one of ours
+        left, right = (df.select(*[F.col(c).alias(o) for c, o in zip(on, ours)], *more) for df, more in ((left, [F.col(key).alias("__key")]), (right, [])))
+        one = eager_join_aggregate(left, right, ours, ["__key"], how="left")
+        rolled.append(one.select(F.lit(name).alias("ref_table"), F.col("__key").alias("key_value"), F.col("rows").alias("n"), "joined_rows"))
+    states = cut(reduce(DataFrame.unionByName, rolled))  # one row per value: the totals read it again, not the tables
     totals = states.groupBy("ref_table").agg(F.sum("n").alias("total"))
     return states.join(F.broadcast(totals), "ref_table").withColumn("share", F.col("n") / F.col("total"))
 
 
-def heavy_keys(tables: dict[str, tuple[DataFrame, str]], percent: int = 3) -> DataFrame:
+def heavy_keys(joins: dict[str, tuple[DataFrame, DataFrame, list[str], str]], percent: int = 3) -> DataFrame:
     """Key values, not null, that hold at least ``percent`` hundredths of all rows of their table: ref_table, key_value."""
-    shares = key_shares(tables)
+    shares = key_shares(joins)
     return shares.where(F.col("key_value").isNotNull() & (F.col("n") * 100 >= F.col("total") * percent)).select("ref_table", "key_value")

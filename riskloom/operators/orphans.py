@@ -1,4 +1,4 @@
-"""References to records that do not exist or came later, by bitmaps of dictionary-encoded keys."""
+"""References to records that do not exist or came later, by compressed bitmaps of dictionary-encoded keys."""
 
 from __future__ import annotations
 
@@ -7,42 +7,49 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+
+from ..runtime import cut
+from . import containers as C
 
-#: Keys of one bitmap: what Spark's bitmap functions hold, 4 KB.
-RANGE = 32_768
 #: Rows of reference and parent tables for each dictionary bucket.
 ROWS_PER_BUCKET = 131_072
 
 MISSING, LATE, SAME_PERIOD = 0, 1, 2
 
 
+@pandas_udf(BinaryType())
+def _container(ids: pd.Series) -> pd.Series:
+    """The ids of one range as a compressed container."""
+    return ids.map(lambda x: C.to_bytes(C.of_values(x)))
+
+
 @pandas_udf(ArrayType(StructType([StructField("bit", IntegerType()), StructField("state", IntegerType())])))
 def _survivors(maps: pd.Series) -> pd.Series:
-    """Bits of one key range that are referenced while no parent is known: reference AND-NOT parent, period by period."""
+    """Ids of one key range that are referenced while no parent is known: reference AND-NOT parent, period by period, on the compressed forms."""
     out = []
     for entries in maps:
-        refs: dict[int, np.ndarray] = {}
-        parents: dict[int, np.ndarray] = {}
+        refs: dict[int, C.Container] = {}
+        parents: dict[int, C.Container] = {}
         for e in entries:
-            (refs if e["is_ref"] else parents)[e["period"]] = np.frombuffer(e["bits"], np.uint8)
-        ever = np.zeros(RANGE // 8, np.uint8)
-        for bits in parents.values():
-            ever |= bits
+            (refs if e["is_ref"] else parents)[e["period"]] = C.from_bytes(e["ids"])
+        ever = C.EMPTY
+        for ids in parents.values():
+            ever = C.either(ever, ids)
         found: dict[int, int] = {}
-        known = np.zeros(RANGE // 8, np.uint8)
+        known = C.EMPTY
         loads = sorted(parents)
         k = 0
         for period in sorted(refs):
             while k < len(loads) and loads[k] < period:
-                known |= parents[loads[k]]
+                known = C.either(known, parents[loads[k]])
                 k += 1
-            unknown = refs[period] & ~known
-            now = parents.get(period)
-            for state, bits in ((SAME_PERIOD, unknown & now if now is not None else None), (LATE, unknown & ever if now is None else unknown & ever & ~now), (MISSING, unknown & ~ever)):
-                if bits is not None and bits.any():
-                    for bit in np.flatnonzero(np.unpackbits(bits, bitorder="little")):
-                        found[int(bit)] = state
+            unknown = C.and_not(refs[period], known)
+            now = parents.get(period, C.EMPTY)
+            later = C.and_not(unknown, now)
+            for state, ids in ((SAME_PERIOD, C.both(unknown, now)), (LATE, C.both(later, ever)), (MISSING, C.and_not(later, ever))):
+                for bit in C.values(ids).tolist():
+                    found[bit] = state
         out.append([{"bit": b, "state": s} for b, s in found.items()])
     return pd.Series(out)
 
@@ -51,9 +58,10 @@ def orphan_keys(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, r
     """Distinct keys of refs that had no parent by the end of some period in which they were referenced, or may not have had.
 
     Keys of both sides become integers: a hash bucket (their number follows ``rows``, a bound of the rows of both sides,
-    counted if not given) and the dense rank of the key inside it. Per bucket, range of 32,768 ids, side and month of ``at`` one bitmap is built in the JVM;
-    per range the bitmaps are combined (reference AND-NOT parents known so far) and the surviving bits are decoded and
-    joined back to the dictionary. Bitmaps of one range are as many as there are months, so no group is unbounded.
+    counted if not given) and the dense rank of the key inside it. The dictionary is written once. Per bucket, range of
+    65,536 ids, side and month of ``at`` the ids become one compressed container (array, runs or bitmap by density);
+    per range the containers are combined as they are (reference AND-NOT parents known so far) and the surviving ids are decoded and
+    joined back to the dictionary. Containers of one range are as many as there are months, so no group is unbounded.
 
     Result: keys, __first_at (earliest ``at`` of a parent, null if there is none).
     """
@@ -69,7 +77,7 @@ def orphan_keys(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, r
     )
     states = both.groupBy(*keys).agg(F.min("first_at").alias("first_at"), F.collect_set("period").alias("periods"))
     states = states.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    coded = states.withColumn("id", F.dense_rank().over(Window.partitionBy("bucket").orderBy(*keys)) - 1)
+    coded = cut(states.withColumn("id", F.dense_rank().over(Window.partitionBy("bucket").orderBy(*keys)) - 1))
     parent_month = (F.year("first_at") * 12 + F.month("first_at")).cast("int")
     entries = F.concat(
         F.transform("periods", lambda p: F.struct(F.lit(True).alias("is_ref"), p.alias("period"))),
@@ -77,13 +85,14 @@ def orphan_keys(refs: DataFrame, parents: DataFrame, keys: list[str], at: str, r
     )
     maps = (
         coded.select("bucket", "id", F.explode(entries).alias("e"))
-        .select("bucket", F.floor(F.col("id") / RANGE).cast("int").alias("range"), "e.*", (F.col("id") % RANGE).cast("long").alias("bit"))
+        .select("bucket", F.floor(F.col("id") / C.RANGE).cast("int").alias("range"), "e.*", (F.col("id") % C.RANGE).cast("int").alias("low"))
         .groupBy("bucket", "range", "is_ref", "period")
-        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        .agg(F.collect_list("low").alias("low"))
+        .select("bucket", "range", F.struct("is_ref", "period", _container("low").alias("ids")).alias("map"))
         .groupBy("bucket", "range")
-        .agg(F.collect_list(F.struct("is_ref", "period", "bits")).alias("maps"))
+        .agg(F.collect_list("map").alias("maps"))
     )
-    bits = maps.select("bucket", "range", F.explode(_survivors("maps")).alias("s")).select("bucket", (F.col("range") * RANGE + F.col("s.bit")).cast("int").alias("id"))
+    bits = maps.select("bucket", "range", F.explode(_survivors("maps")).alias("s")).select("bucket", (F.col("range") * C.RANGE + F.col("s.bit")).cast("int").alias("id"))
     return coded.join(bits, ["bucket", "id"], "left_semi").select(*[F.col(k).alias(n) for n, k in zip(names, keys)], F.col("first_at").alias("__first_at"))
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 
 def _scanner(gap_ms: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +63,8 @@ def sessionize(events: DataFrame, key: str, ts: str, event: str, gap_ms: int) ->
     Rows are range-partitioned and sorted by (key, ts, event), so that a key with a third of all rows spreads over as
     many partitions as its share needs. Each partition is scanned once, in Arrow batches, with one open session as
     state. Only the first and last session of a partition can go on in its neighbours; those few (two a partition)
-    are merged afterwards by the same gap rule.
+    are merged afterwards by the same gap rule. What the scan emits is written once: range bounds are sampled, so a
+    second evaluation could cut the partitions elsewhere, and inner and edge sessions would no longer fit together.
 
     Result: key column, start_ms, end_ms, duration_ms, n_events. Rows with null key or ts are left out. Rows that agree
     in key, ts and a non-null ``event`` (an id) are one event; null ids count one each. Empty input: no rows.
@@ -70,7 +73,7 @@ def sessionize(events: DataFrame, key: str, ts: str, event: str, gap_ms: int) ->
         F.col(key).cast("string").alias("k"), F.col(ts).cast("long").alias("ts"), F.col(event).cast("string").alias("event")
     )
     ordered = rows.repartitionByRange("k", "ts").sortWithinPartitions("k", "ts", "event")
-    pieces = ordered.mapInPandas(_scanner(gap_ms), "k string, start_ms long, end_ms long, n_events long, edge boolean")
+    pieces = cut(ordered.mapInPandas(_scanner(gap_ms), "k string, start_ms long, end_ms long, n_events long, edge boolean"))
     whole = pieces.where(~F.col("edge")).drop("edge")
     order = Window.partitionBy("k").orderBy("start_ms", "end_ms")
     reach = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -18,21 +18,25 @@ GAP_MS = 90 * 60_000
 # 2: a few keys hold most records
 
 
-def _ref_tables(spark: SparkSession, d: str) -> dict:
+def _joins(spark: SparkSession, d: str) -> dict:
+    """Edges to the nodes they name, changes to the nodes of their file."""
+    nodes = table(spark, d, "dep_nodes", "analysis_id", "id", "file_path")
+    edges = table(spark, d, "dep_edges", "analysis_id", "target_id").withColumnRenamed("target_id", "id")
+    changes = table(spark, d, "process_file_changes", "analysis_id", "file_path")
     return {
-        "dep_edges": (table(spark, d, "dep_edges", "target_id"), "target_id"),
-        "process_file_changes": (table(spark, d, "process_file_changes", "file_path"), "file_path"),
+        "dep_edges": (edges, nodes.select("analysis_id", "id"), ["analysis_id", "id"], "id"),
+        "process_file_changes": (changes, nodes.select("analysis_id", "file_path"), ["analysis_id", "file_path"], "file_path"),
     }
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Values with at least 3 % of all rows of their table."""
-    return heavy_keys(_ref_tables(spark, d), 3)
+    return heavy_keys(_joins(spark, d), 3)
 
 
 def p2_key_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and share of every value, null among them."""
-    return key_shares(_ref_tables(spark, d)).select("ref_table", "key_value", "n", F.round("share", 9).alias("share"))
+    """Rows and share of every value, null among them, and its rows in the join with the nodes."""
+    return key_shares(_joins(spark, d)).select("ref_table", "key_value", "n", "joined_rows", F.round("share", 9).alias("share"))
 
 
 def p2_file_results(spark: SparkSession, d: str) -> DataFrame:
@@ -213,14 +217,18 @@ orphans AS (SELECT ref_table, row_id, loaded_at, CASE WHEN first_at IS NULL THEN
 """
 
 _SHARES = """
-k AS (SELECT 'dep_edges' AS ref_table, target_id AS key_value, count(*) AS n FROM dep_edges GROUP BY ALL
-      UNION ALL SELECT 'process_file_changes', file_path, count(*) FROM process_file_changes GROUP BY ALL),
+ni AS (SELECT analysis_id, id, count(*) AS m FROM dep_nodes GROUP BY ALL),
+nf AS (SELECT analysis_id, file_path, count(*) AS m FROM dep_nodes GROUP BY ALL),
+k AS (SELECT 'dep_edges' AS ref_table, e.target_id AS key_value, count(*) AS n, CAST(coalesce(sum(m), 0) AS BIGINT) AS joined_rows
+      FROM dep_edges e LEFT JOIN ni ON ni.analysis_id = e.analysis_id AND ni.id = e.target_id GROUP BY ALL
+      UNION ALL SELECT 'process_file_changes', x.file_path, count(*), CAST(coalesce(sum(m), 0) AS BIGINT)
+      FROM process_file_changes x LEFT JOIN nf ON nf.analysis_id = x.analysis_id AND nf.file_path = x.file_path GROUP BY ALL),
 shares AS (SELECT *, sum(n) OVER (PARTITION BY ref_table) AS total FROM k)
 """
 
 SQL = {
     "p2_found": f"WITH {_SHARES} SELECT ref_table, key_value FROM shares WHERE key_value IS NOT NULL AND n * 100 >= total * 3",
-    "p2_key_shares": f"WITH {_SHARES} SELECT ref_table, key_value, n, round(n / total, 9) AS share FROM shares",
+    "p2_key_shares": f"WITH {_SHARES} SELECT ref_table, key_value, n, joined_rows, round(n / total, 9) AS share FROM shares",
     "p2_file_results": f"""SELECT x.file_path, count(*) AS joined_rows, CAST(sum(x.lines_added) AS BIGINT) AS sum_lines_added,
         CAST(sum(x.lines_deleted) AS BIGINT) AS sum_lines_deleted, max(x.lines_added) AS max_lines_added
         FROM process_file_changes x JOIN process_commits c ON c.analysis_id = x.analysis_id AND {_NORMAL.format('c.hash')} = {_NORMAL.format('x.commit_hash')} GROUP BY ALL""",

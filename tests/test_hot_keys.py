@@ -27,6 +27,11 @@ def test_eager_aggregate_equals_joined_rows(spark):
 def test_shares_and_threshold_ties(spark):
     rows = [("hot",)] * 50 + [("edge",)] * 3 + [("below",)] * 2 + [(None,)] * 45
     df = spark.createDataFrame(rows, "total string")
-    assert {r.key_value for r in heavy_keys({"t": (df, "total")}, 3).collect()} == {"hot", "edge"}
-    assert sum(r.n for r in key_shares({"t": (df, "total")}).collect()) == 100
-    assert heavy_keys({"t": (df.limit(0), "total")}).count() == 0
+    other = spark.createDataFrame([("hot",), ("hot",), ("else",), (None,)], "total string")
+    joins = {"t": (df, other, ["total"], "total")}
+    assert {r.key_value for r in heavy_keys(joins, 3).collect()} == {"hot", "edge"}
+    shares = key_shares(joins).collect()
+    assert sum(r.n for r in shares) == 100 and {r.key_value: r.joined_rows for r in shares} == {"hot": 100, "edge": 0, "below": 0, None: 0}
+    assert heavy_keys({"t": (df.limit(0), other, ["total"], "total")}).count() == 0
+    clash = spark.createDataFrame([("a", "b", "c")] * 4, "rows string, joined_rows string, n string")
+    assert [tuple(r)[:4] for r in key_shares({"t": (clash, clash, ["rows", "n"], "joined_rows")}).collect()] == [("t", "b", 4, 16)]

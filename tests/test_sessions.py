@@ -56,6 +56,19 @@ def test_equals_brute_force_over_partition_bounds(spark, parts):
     assert got == brute(rows, 10)
 
 
+def test_plan_settings_do_not_change_the_result(spark):
+    rows = made(11, 3000)
+    df = spark.createDataFrame(rows, "who string, ts long, event string")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {tuple(r) for r in sessionize(df, "who", "ts", "event", 10).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == brute(rows, 10)
+
+
 def test_gap_is_inclusive_and_empty(spark):
     df = spark.createDataFrame([("a", 0, "1"), ("a", 10, "2"), ("a", 21, "3")], "who string, ts long, event string")
     assert sorted(tuple(r)[1:3] for r in sessionize(df, "who", "ts", "event", 10).collect()) == [(0, 10), (21, 21)]
