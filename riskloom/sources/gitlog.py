@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
+import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "analysis_id string, hash string, author string, author_email string, timestamp_ms long, message string, is_merge boolean, file_path string, lines_added long, lines_deleted long, change_type string"
-_FORMAT = "%x1e%H%x1f%P%x1f%an%x1f%ae%x1f%at%x1f%ad%x1f%B%x1f"
+_FORMAT = "%x00%H%x00%P%x00%an%x00%ae%x00%at%x00%ad%x00%B%x00"
 _KINDS = {"A": "Added", "M": "Modified", "D": "Deleted", "R": "Renamed", "C": "Renamed", "T": "Modified"}
-
-
-def _git(path: str, *args: str) -> str:
-    run = subprocess.run(["git", "-c", "safe.directory=*", "-C", path, *args], capture_output=True)
-    if run.returncode:
-        raise ValueError(f"{path} can't be read as a git repository: {run.stderr.decode(errors='replace').strip()[:200]}")
-    return run.stdout.decode("utf-8", "replace")
+_STAT = re.compile(r"(\d+|-)\t(\d+|-)\t")
+_BLOCK = 1 << 16
+
+
+def _fields(path: str, *args: str) -> Iterator[str]:
+    """NUL-separated fields of what git prints, read in blocks: no more than a block and a field are held."""
+    with tempfile.TemporaryFile() as errors, subprocess.Popen(["git", "-c", "safe.directory=*", "-C", path, *args], stdout=subprocess.PIPE, stderr=errors) as run:
+        try:
+            rest = b""
+            while block := run.stdout.read(_BLOCK):
+                *whole, rest = (rest + block).split(b"\0")
+                for field in whole:
+                    yield field.decode("utf-8", "replace")
+            yield rest.decode("utf-8", "replace")
+            if run.wait():
+                errors.seek(0)
+                raise ValueError(f"{path} can't be read as a git repository: {errors.read(400).decode(errors='replace').strip()}")
+        finally:  # a reader that stops early ends git too
+            run.kill()
 
 
 def _offset_minutes(date: str) -> int:
@@ -25,48 +39,52 @@ def _offset_minutes(date: str) -> int:
     return (-1 if sign == "-" else 1) * (hours * 60 + minutes)
 
 
-def walk(path: str, max_commits: int | None = 10_000) -> Iterator[tuple]:
-    """Commits from HEAD by time and topology, first-parent differences; commits without changes give one row without a file.
+def _rows(head: list[str], kinds: dict[str, str], stats: list[tuple[str, str, str]]) -> Iterator[tuple]:
+    commit, parents, author, email, seconds, date, message = head
+    row = (commit, author, email, int(seconds) * 1000 + _offset_minutes(date) * 60_000, message.strip(), len(parents.split()) > 1)
+    any_file = False
+    for added, deleted, name in stats:
+        if name in kinds:
+            any_file = True
+            yield (*row, name, *(0 if x == "-" else int(x) for x in (added, deleted)), kinds[name])
+    if not any_file:
+        yield (*row, None, None, None, None)
+
+
+def walk(path: str, max_commits: int | None = 10_000, renames: bool = False) -> Iterator[tuple]:
+    """All commits HEAD descends from, by time and topology, those of merged branches among them, each with its differences to its first parent.
 
-    timestamp_ms is seconds * 1000 plus the zone's offset. Copies count as renames, submodules are left out.
+    A commit without changes gives one row without a file. timestamp_ms is seconds * 1000 plus the zone's offset.
+    A renamed file is one deleted and one added; with ``renames`` it is one renamed, as are copies. Submodules are left out.
     """
-    common = ["log", "--date-order", f"--format={_FORMAT}", "--date=raw", "-M", "-m", "--first-parent", "HEAD"]
     limit = [f"--max-count={max_commits}"] if max_commits else []
-    kinds: dict[tuple[str, str], str] = {}
-    for part in _git(path, *common[:1], "--raw", "-z", "--no-abbrev", *common[1:], *limit).split("\x1e")[1:]:
-        head, _, body = part.rpartition("\x1f")
-        commit = head.split("\x1f", 1)[0]
-        fields = [x for x in body.strip("\n").split("\0")]
-        i = 0
-        while i < len(fields):
-            f = fields[i].lstrip("\n")
-            if f.startswith(":"):
-                meta = f.split()
-                kind, many = meta[4][0], meta[4][0] in "RC"
-                name = fields[i + 2] if many else fields[i + 1]
-                if "160000" not in (meta[0][1:], meta[1]):
-                    kinds[commit, name] = _KINDS.get(kind, "Modified")
-                i += 3 if many else 2
-            else:
-                i += 1
-    for part in _git(path, *common[:1], "--numstat", "-z", *common[1:], *limit).split("\x1e")[1:]:
-        head, _, body = part.rpartition("\x1f")
-        commit, parents, author, email, seconds, date, message = head.split("\x1f")
-        ts = int(seconds) * 1000 + _offset_minutes(date) * 60_000
-        row = (commit, author, email, ts, message.strip(), len(parents.split()) > 1)
-        fields, i, any_file = body.strip("\n").split("\0"), 0, False
-        while i < len(fields):
-            stat = fields[i].lstrip("\n").split("\t")
-            if len(stat) != 3:
-                i += 1
-                continue
-            name, step = (fields[i + 2], 3) if not stat[2] else (stat[2], 1)
-            i += step
-            if (commit, name) in kinds:
-                any_file = True
-                yield (*row, name, *(0 if x == "-" else int(x) for x in stat[:2]), kinds[commit, name])
-        if not any_file:
-            yield (*row, None, None, None, None)
+    fields = _fields(path, "log", "--date-order", "--diff-merges=first-parent", "--raw", "--numstat", "-z", "--no-abbrev", "-M" if renames else "--no-renames", "--date=raw", f"--format={_FORMAT}", *limit, "HEAD")
+    head: list[str] | None = None
+    kinds: dict[str, str] = {}
+    stats: list[tuple[str, str, str]] = []
+    for field in fields:
+        f = field.lstrip("\n")
+        if not f:
+            continue
+        if f.startswith(":"):
+            meta = f.split()
+            name = next(fields)
+            if meta[4][0] in "RC":
+                name = next(fields)
+            if "160000" not in (meta[0][1:], meta[1]):
+                kinds[name] = _KINDS.get(meta[4][0], "Modified")
+        elif m := _STAT.match(f):
+            name = f[m.end() :]
+            if not name:
+                next(fields)
+                name = next(fields)
+            stats.append((m[1], m[2], name))
+        else:
+            if head:
+                yield from _rows(head, kinds, stats)
+            head, kinds, stats = [f, *(next(fields) for _ in range(6))], {}, []
+    if head:
+        yield from _rows(head, kinds, stats)
 
 
 class _Repository(InputPartition):
@@ -78,17 +96,18 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.most = int(options.get("max_commits", "10000")) or None
+        self.renames = options.get("renames", "false").lower() == "true"
 
     def partitions(self):
         return [_Repository(p) for p in self.paths]
 
     def read(self, partition):
-        for row in walk(partition.path, self.most):
+        for row in walk(partition.path, self.most, self.renames):
             yield (partition.path.rstrip("/").rsplit("/", 1)[-1], *row)
 
 
 class GitLog(DataSource):
-    """spark.read.format("gitlog").option("max_commits", 0 for all).load("repo1,repo2"): a task for each repository."""
+    """spark.read.format("gitlog").option("max_commits", 0 for all).option("renames", True).load("repo1,repo2"): a task for each repository."""
 
     @classmethod
     def name(cls) -> str:

@@ -1,4 +1,7 @@
 import random
+import time
+
+import numpy as np
 
 from riskloom.operators import graph as G
 
@@ -7,9 +10,9 @@ def frame(spark, edges):
     return spark.createDataFrame([("an", a, b, 1, "static", i) for i, (a, b) in enumerate(edges)], "analysis_id string, source_id string, target_id string, line long, kind string, row_id long")
 
 
-def groups(spark, edges):
+def groups(spark, edges, local=G.LOCAL_EDGES):
     out = {}
-    for r in G.components(frame(spark, edges)).collect():
+    for r in G.components(frame(spark, edges), local).collect():
         out.setdefault(r.component, set()).add(r.id)
     return sorted(map(sorted, out.values()))
 
@@ -37,12 +40,44 @@ def test_random_graphs(spark):
         want = brute(edges)
         rng.shuffle(edges)
         assert groups(spark, edges) == want
+    assert groups(spark, edges, 5) == want  # by distributed rounds
+
+
+def test_many_random_graphs_and_long_ones():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(1, 12)
+        edges = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 30))})
+        first, to = np.searchsorted([a for a, _ in edges], np.arange(n + 1)), np.array([b for _, b in edges], int)
+        comp = G.strong_components(first, to)
+        got = sorted(sorted(np.flatnonzero(comp == c).tolist()) for c in set(comp.tolist()))
+        assert [c for c in got if len(c) > 1] == brute(edges)
+    ring = np.arange(200_001)
+    assert len(set(G.strong_components(ring, (ring[:-1] + 1) % 200_000).tolist())) == 1
+
+
+def test_ring_of_100(spark):
+    began = time.time()
+    edges = [(f"n{i}", f"n{(i + 1) % 100}") for i in range(100)]
+    assert groups(spark, edges) == [sorted({a for a, _ in edges})]
+    assert time.time() - began < 5
+
+
+def test_groups_of_several_analyses_and_nulls(spark):
+    rows = [("x", "a", "b"), ("x", "b", "a"), ("y", "a", "b"), ("y", None, "a"), ("y", "b", None), (None, "a", "b"), (None, "b", "a"), ("x", "a", "b")]
+    df = spark.createDataFrame(rows, "analysis_id string, source_id string, target_id string")
+    for local in (0, 100):
+        assert sorted(map(tuple, G.components(df, local).collect())) == [("x", "a", "a"), ("x", "a", "b")]
+        start = spark.createDataFrame([("x", "a"), ("y", "a"), ("y", "a"), (None, "a"), ("z", None)], "analysis_id string, id string")
+        assert sorted(map(tuple, G.reach(df, start, local).collect())) == [("x", "a"), ("x", "b"), ("y", "b")]
 
 
 def test_fans_and_reach(spark):
     df = frame(spark, [("a", "b"), ("c", "b"), ("a", "b"), ("b", "d")])
     assert {r.id: (r.fan_in, r.fan_out) for r in G.fans(df).collect()} == {"a": (0, 2), "b": (3, 1), "c": (0, 1), "d": (1, 0)}
     start = spark.createDataFrame([("an", "a")], "analysis_id string, id string")
+    chain = frame(spark, [(chr(97 + i), chr(98 + i)) for i in range(9)])
+    assert {r.id for r in G.reach(chain, start, 1).collect()} == set("bcdefghij")
     assert {r.id for r in G.reach(df, start).collect()} == {"b", "d"} and G.reach(df.limit(0), start).count() == 0
 
 

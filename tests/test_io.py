@@ -32,6 +32,35 @@ def test_git_source(spark, tmp_path):
         spark.read.format("gitlog").load(str(tmp_path)).count()
 
 
+def test_git_source_has_merged_branches(spark, tmp_path):
+    repo = tmp_path / "merged"
+    repo.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=Z", "-c", "user.email=z@e.example", *a], check=True, capture_output=True, text=True).stdout
+
+    def commit(name, text, message):
+        (repo / name).write_text(text)
+        run("add", "."), run("commit", "-qm", message)
+
+    run("init", "-q", "-b", "main")
+    commit("a.py", "1\n2\n", "first")
+    for k in (1, 2):  # two merges
+        run("checkout", "-q", "-b", f"side{k}")
+        commit(f"s{k}.py", "x\ny\nz\n", f"side {k}")
+        run("checkout", "-q", "main")
+        commit("a.py", f"{k}\n2\n3\n", f"main {k}")
+        run("merge", "-q", "--no-ff", f"side{k}", "-m", f"merge {k}")
+    run("mv", "s1.py", "t1.py"), run("commit", "-qm", "move")
+    run("commit", "-q", "--allow-empty", "-m", "nothing\x1e\x1f\n\n:100644 odd")
+    rows = list(gitlog.walk(str(repo)))
+    assert len({r[0] for r in rows}) == int(run("rev-list", "--count", "HEAD")) == 9
+    assert {r[4] for r in rows if r[5]} == {"merge 1", "merge 2"} and [r[6] for r in rows if r[4] == "merge 2"] == ["s2.py"]
+    stat = run("log", "--diff-merges=first-parent", "--no-renames", "--numstat", "--format=").split("\n")
+    assert sum(r[7] or 0 for r in rows) == sum(int(x.split("\t")[0]) for x in stat if x) and sum(r[8] or 0 for r in rows) == sum(int(x.split("\t")[1]) for x in stat if x)
+    assert {(r[6], r[9]) for r in rows if r[4] == "move"} == {("s1.py", "Deleted"), ("t1.py", "Added")}
+    assert {(r[6], r[9]) for r in gitlog.walk(str(repo), renames=True) if r[4] == "move"} == {("t1.py", "Renamed")}
+    assert [r[6:] for r in rows if r[4].startswith("nothing")] == [(None,) * 4] and len(list(gitlog.walk(str(repo), 2))) >= 2
+
+
 def test_code_files(spark, tmp_path):
     root = tmp_path / ".hidden" / "root"
     for name, data in {"a.py": b"x = 1", "node_modules/b.py": b"1", "c/.d/e.py": b"1", "f.py": b"a\0b", "g.PY": b"2", "h.py": b"\xff\xfe", "vendored.py": b"3"}.items():
