@@ -7,28 +7,25 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
+from math import log
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, join_measured
 
-#: Share of a language's block starts below which a first word is counted by its shape only: at most 1,000 words a language.
-START_SHARE = 1e-3
-#: Share of a language's periods below which the word before it is counted by its shape only: at most 100,000 words a language.
-WORD_SHARE = 1e-5
-#: Share of a word's periods below which what follows is counted by its shape only: at most 200 followers a word.
-FOLLOW_SHARE = 5e-3
-#: Occurrences below which a first word or a follower goes by its shape, whatever its share.
-LEAST = 8
-#: Occurrences that the shape of a word counts for in what is known of the word.
-PRIOR = 20.0
-
-#: How often a known word must end sentences for one to end before a small letter too.
-SURE_END = 0.8
-#: After a word that mostly ends sentences, how many times more often than at starts a follower must stand to be no start.
-USUAL_END = 8
+#: Log-likelihood ratio from which on a collocation or a preference counts (1 % of the chi-square distribution), as Kiss and Strunk (2006) have it.
+SIGNIFICANT = 7.88
+#: Log-likelihood ratio from which on a word counts as a starter of sentences (the same source).
+STARTER = 30.0
+#: Value of the length-weighted ratio from which on a word is an abbreviation (the same source).
+ABBREVIATION = 0.3
+#: A collocate stands at least so many times more often than among the starts of blocks.
+LIFT = 2.0
+#: Rates of periods with a collocate behind them under the two hypotheses: of a word that ends sentences, of an abbreviation.
+RATES = (0.1, 0.9)
 
 #: Frequent function words that tell languages of the Latin script apart (fixed values).
 _WORDS_OF = {
@@ -56,12 +53,14 @@ _TERM = re.compile(r"[.!?…。！？｡।॥؟۔‼-⁉]+")
 _WIDE, _BAR = re.compile("[。！？｡]"), re.compile("[।॥؟۔]")
 _WIDE_LETTER = re.compile(f"[{_CJK}]")
 _NEXT = re.compile(r"\s*((?:[—–«„\-]\s+)?\S+)")
+_NEXT_IN_TOKEN = re.compile(r"[^\s.!?…]+")
 _VERSION = re.compile(r"v\d[\d.]*")
-_PLAIN_END = re.compile(r"^[^.@]*[a-zà-ÿа-я\d]{3}[\"”»)]?$")
-#: Words after a word or comma: surely inside a sentence.
-_INSIDE = re.compile(r"(?<=[\w,][ ])[^\W\d_]+(?!\w)")
+_PLAIN_END = re.compile(r"[a-zà-ÿа-я\d]{3}[\"”»)]?$")
+#: Tokens after a word or comma: surely inside a sentence.
+_INSIDE = re.compile(r"(?<=[\w,][ ])\S+")
 _THAI_GAP = re.compile("(?<=[ก-ฮะ-ๅ็-๎๐-๙])[ \t ]+(?=[฀-๿\"“(])")
 _CLOSE_OF = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "《": "》", "[": "]"}
+_OPENERS_OF = {c: [o for o, closers in _CLOSE_OF.items() if c in closers] for c in "".join(_CLOSE_OF.values())}
 _PAIRED = re.compile("[\"" + re.escape("".join(_CLOSE_OF) + "".join(_CLOSE_OF.values())) + "]")
 _QUOTES = set('“„«‹「『"')
 _OPENERS = '"“„«‹‘(¿¡[「『（—–-…*_'
@@ -193,25 +192,30 @@ def before(raw: str, term: str, closed: str) -> tuple[str, str]:
 
 
 def spans(s: str) -> list[tuple[int, int]]:
-    """Quotations and brackets that open and close in the block."""
+    """Quotations and brackets that open and close in the block. Linear: the stack is searched only for what is known to be on it."""
     out, stack = [], []
+    on: Counter = Counter()
+
+    def back_to(at: int, end: int) -> None:
+        out.append((stack[at][1], end))
+        on.subtract(c for c, _ in stack[at:])
+        del stack[at:]
+
     for m in _PAIRED.finditer(s):
         i, c = m.start(), m.group()
         if c == '"':
-            opens = (i == 0 or s[i - 1] in " (—[ " or stack and stack[-1][1] == i - 1) and i + 1 < len(s) and s[i + 1] != " "
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if at is not None and not (opens and at is None):
-                out.append((stack[at][1], i))
-                del stack[at:]
+            opens = (i == 0 or s[i - 1] in " (—[ " or stack and stack[-1][1] == i - 1) and i + 1 < len(s) and s[i + 1] != " "
+            if on['"'] > 0:
+                back_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), i)
             elif opens:
                 stack.append((c, i))
+                on[c] += 1
             continue
-        at = next((k for k in range(len(stack) - 1, -1, -1) if c in _CLOSE_OF.get(stack[k][0], "")), None)
-        if at is not None:
-            out.append((stack[at][1], i))
-            del stack[at:]
+        if any(on[o] > 0 for o in _OPENERS_OF.get(c, ())):
+            back_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in _OPENERS_OF[c]), i)
         elif c in _CLOSE_OF:
             stack.append((c, i))
+            on[c] += 1
     return out
 
 
@@ -225,36 +229,45 @@ class Candidate:
 
 
 def candidates(s: str) -> list[Candidate]:
-    """Places of a block where a sentence may end, from left to right; none inside quotations or brackets."""
+    """Places of a block where a sentence may end, from left to right; none inside quotations or brackets. Linear in the block."""
     pairs = spans(s)
     close = {b: a for a, b in pairs}
-    inside = bytearray(len(s) + 1)
-    for a, b in pairs:
-        inside[a : b] = b"\1" * (b - a)
-    depth = defaultdict(list)
+    turns = [0] * (len(s) + 1)
     for a, b in pairs:
-        depth[b].append(a)
+        turns[a] += 1
+        turns[b] -= 1
+    inside = list(accumulate(turns))
     until = len(s.rstrip())
     out = [Candidate(m.start(), True) for m in _THAI_GAP.finditer(s) if not inside[m.start()]]
+    seen = word = 0  # what has been looked at, where the token at hand begins
+    slash = dot = False  # what the token holds so far
     for m in _TERM.finditer(s):
-        j, quote = m.end(), -1
+        part = s[seen : m.start()]
+        if last := part.rsplit(None, 1) if part else None:
+            if part[-1].isspace():
+                word, slash, dot = m.start(), False, False
+            elif len(last) == 2 or part[0].isspace():
+                word, slash, dot = m.start() - len(last[-1]), "/" in last[-1], "@" in last[-1]
+            else:
+                slash, dot = slash or "/" in part, dot or "@" in part
+        elif part:
+            word, slash, dot = m.start(), False, False
+        seen, term = m.end(), m.group()
+        plain = not slash and not dot
+        dot = dot or "." in term
+        j, quote, opened = m.end(), -1, -1
         while True:
             if j in close:
                 quote = close[j] if s[close[j]] in _QUOTES else quote
-                last = close[j]
+                opened = close[j]
                 j += 1
-            elif j + 1 < len(s) and s[j] in "   " and j + 1 in close and s[j + 1] in "»›":
-                quote = close[j + 1]
-                last = quote
+            elif j + 1 < len(s) and s[j] in "   " and j + 1 in close and s[j + 1] in "»›":
+                quote = opened = close[j + 1]
                 j += 2
             else:
                 break
-        if j == m.end():
-            if inside[m.start()]:
-                continue
-        elif last and inside[last - 1] and any(a < last and b >= j for a, b in pairs):
+        if inside[m.start()] if j == m.end() else opened > 0 and inside[opened - 1]:
             continue
-        term = m.group()
         if j >= until:
             continue
         nxt = s[j]
@@ -265,186 +278,204 @@ def candidates(s: str) -> list[Candidate]:
         if _BAR.search(term):
             out.append(Candidate(j, True, quote_at=quote))
             continue
-        a = max(s.rfind(" ", 0, m.start()), s.rfind("\xa0", 0, m.start())) + 1
-        if not nxt.isspace() and not (nxt.isupper() and "/" not in s[a : m.start()] and _PLAIN_END.search(s[a : m.start()])):
-            continue  # a mark inside a token, unless the space after a plain word was forgotten
-        token = _NEXT.match(s, j)[1].replace(" ", "")[:200]
-        out.append(Candidate(j, None, before(s[a : m.start()], term, s[m.end() : j]), follower(token), quote))
+        if nxt.isspace():
+            token = _NEXT.match(s, j)[1].replace(" ", "")
+        elif nxt.isupper() and plain and _PLAIN_END.search(s, max(word, m.start() - 4), m.start()):
+            token = _NEXT_IN_TOKEN.match(s, j)[0]  # the space after a plain word was forgotten
+        else:
+            continue  # a mark inside a token
+        out.append(Candidate(j, None, before(s[word : m.start()], term, s[m.end() : j]), follower(token), quote))
+        word, slash, dot = j, False, False  # what follows is another token
     out.sort(key=lambda c: c.end)
     return out
 
 
-def count_evidence(text: str, declared: str | None, into: Counter) -> None:
-    """Count how blocks start and what follows possible ends: (lang, kind, word, its shape, follower, its shape)."""
-    for block in blocks(text):
-        if block.whole or not block.text:
-            continue
-        lang = language(block.text, declared)
-        for word, n in Counter(_INSIDE.findall(block.text)).items():
-            low = word.lower()
-            into[lang, "low" if word == low else "cap", "", "", low, ""] += n
-        first = block.text.split(None, 1)
-        if first:
-            token = first[0]
-            if token in ("—", "–", "«", "„") and len(first) > 1:
-                token += first[1].split(None, 1)[0]
-            into[lang, "start", "", "", *follower(token)] += 1
-        for c in candidates(block.text):
-            if c.sure is None:
-                into[lang, "pair", *c.word, *c.next] += 1
+#: What the scan of a text gives, one row each (the schema of mapInArrow): a unit's sure end, a place where one may end, or counts.
+SCAN = "row long, doc long, kind string, end int, lang string, w string, ws string, t string, ts string, block int, at int, after int, n long"
+_SCAN = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]]) for c in SCAN.split(", ")])
+UNIT, QUOTE, PAIR, START, INSIDE = "unit", "quote", "pair", "start", "inside"
 
 
-@dataclass
-class Model:
-    """How sentences start, and what follows each word with a period, per language; words and followers that are rare go by shape."""
-
-    starts: dict[tuple[str, str], float] = field(default_factory=dict)
-    follows: dict[tuple[str, str], dict[str, float]] = field(default_factory=dict)
-    common: set[tuple[str, str]] = field(default_factory=set)  # followers with a capital that are written small inside sentences
-
-    def ends(self, lang: str, word: tuple[str, str], next_: tuple[str, str]) -> bool:
-        """Whether a sentence ends between the two.
-
-        What follows a word with a period is a mixture of sentence starts and of what goes on: P(t|w) = b S(t) + (1 - b) Q(t).
-        b is the overlap of P(.|w) with S; the odds of a start at t are those of b S(t) in P(t|w). A capital where the
-        word is otherwise written small is a start by itself and counts as overlap.
-        """
-        small = next_[1].endswith("<xx>")
-        entry = self.follows.get((lang, word[0])) or self.follows.get((lang, word[1])) or {}
-        if not entry:
-            return not small
-        t = next_[0] if (lang, next_[0]) in self.starts or next_[0] in entry else next_[1]
-        if (lang, next_[0]) in self.common:
-            return True
-        b, seen = entry["<b>"], entry.get(t, 0.0)
-        if b > 0.5 and word[0][:1] not in "<…?":  # a word that is no abbreviation
-            return not small or b > SURE_END and (lang, word[0]) in self.follows
-        if seen <= 0.0:
-            return b > 0.5 and not small
-        return b * self.starts.get((lang, t), 0.0) * (USUAL_END if b > 0.5 else 2) > seen
-
-
-def units(text: str | None, declared: str | None, model: Model) -> list[int]:
-    """Ends (exclusive code-point offsets) of the units of a text."""
-    out = []
-    for block in blocks(text or ""):
-        if block.whole:
-            out.append(block.at[-1] + 1)
-            continue
-        s = block.text
-        if not s.strip():
-            continue
-        lang = language(s, declared)
-        begin = 0
-        for c in candidates(s):
-            if c.end <= begin:
-                continue
-            if c.sure is None:
-                ends = model.ends(lang, c.word, c.next)
-            else:
-                ends = c.sure
-                if ends and c.quote_at >= 0 and lang in ("zh", "ko") and not s[begin : c.quote_at].strip() and not s[c.end].isspace() and s[c.end] not in "“「『（\"(":
-                    ends = False  # a quotation that begins its sentence is followed by who said it
-            if ends:
-                out.append(block.at[c.end - 1] + 1)
-                begin = c.end
-        tail = s.rstrip()
-        if len(tail) > begin and s[begin:].strip():
-            out.append(block.at[len(tail) - 1] + 1)
-    return out
-
+class _Scan:
+    """Rows of scanned texts and counts of how blocks start and of what stands inside sentences."""
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Statistics over all texts: one pass of counting, combined map-side, and sums per language.
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.starts: Counter = Counter()
+        self.inside: dict[str, Counter] = defaultdict(Counter)
 
-    Kept are starts, words and followers above the frequency shares stated at the top of this module, which bounds
-    what reaches the driver whatever the size of the corpus; all others are summed under their shapes.
+    def text(self, row: int, doc: int, text: str, declared: str | None) -> None:
+        for no, block in enumerate(blocks(text)):
+            if block.whole:
+                self.rows.append((row, doc, UNIT, block.at[-1] + 1, *[None] * 8, 1))
+                continue
+            s = block.text
+            if not s.strip():
+                continue
+            lang = language(s, declared)
+            self.inside[lang].update(_INSIDE.findall(s))
+            first = s.split(None, 1)
+            token = first[0]
+            if token in ("—", "–", "«", "„") and len(first) > 1:
+                token += first[1].split(None, 1)[0]
+            self.starts[lang, *follower(token)] += 1
+            found = candidates(s)
+            # a quotation that begins its sentence is followed by who said it: whether it does depends on the ends before it
+            told = [lang in ("zh", "ko") and bool(c.sure) and c.quote_at >= 0 and not s[c.end].isspace() and s[c.end] not in "“「『（\"(" for c in found]
+            group = no if any(told) else None
+            for c, quoted in zip(found, told):
+                end = block.at[c.end - 1] + 1
+                if c.sure is None:
+                    self.rows.append((row, doc, PAIR, end, lang, *c.word, *c.next, group, c.end, None, 1))
+                elif quoted:
+                    self.rows.append((row, doc, QUOTE, end, *[None] * 5, group, c.end, len(s[: c.quote_at].rstrip()), 1))
+                elif c.sure:
+                    self.rows.append((row, doc, UNIT, end, *[None] * 5, group, c.end, None, 1))
+            self.rows.append((row, doc, UNIT, block.at[len(s.rstrip()) - 1] + 1, *[None] * 8, 1))
+
+    def counts(self) -> None:
+        """Turn the counts into rows and begin anew."""
+        inside: Counter = Counter()
+        for lang, tokens in self.inside.items():
+            for token, n in tokens.items():
+                inside[lang, *follower(token)] += n
+        for kind, counts in ((START, self.starts), (INSIDE, inside)):
+            self.rows += [(None, None, kind, None, lang, None, None, t, ts, None, None, None, n) for (lang, t, ts), n in counts.items()]
+        self.starts, self.inside = Counter(), defaultdict(Counter)
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows)) if self.rows else [[]] * len(_SCAN)
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCAN)], schema=_SCAN)
+
+
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scan of batches (row, doc, text, lang); what is held is bounded by a batch and the tokens counted since the last flush."""
+    out = _Scan()
+    for batch in batches:
+        for row, doc, text, declared in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            out.text(row, doc, text, declared)
+            if len(out.rows) > 20_000:
+                yield out.batch()
+        if sum(map(len, out.inside.values())) > 100_000:
+            out.counts()
+        yield out.batch()
+    out.counts()
+    yield out.batch()
+
+
+def _g2(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
+    """Dunning's log-likelihood ratio of two shares k / n, with a minus where the first is the smaller; 0 where a total is 0."""
+    part = lambda k, p: F.when(k > 0, k * F.ln(p)).otherwise(0.0)
+    both = lambda k, n, p: part(k, p) + part(n - k, 1 - p)
+    p = (k1 + k2) / (n1 + n2)
+    g = 2 * (both(k1, n1, k1 / n1) + both(k2, n2, k2 / n2) - both(k1, n1, p) - both(k2, n2, p))
+    return F.when((n1 <= 0) | (n2 <= 0), 0.0).when(k1 * n2 >= k2 * n1, F.greatest(g, F.lit(0.0))).otherwise(-F.greatest(g, F.lit(0.0)))
+
+
+def _followers(counts: DataFrame) -> DataFrame:
+    """Every token that stands behind a possible end, per language: n_start (among ns starts of blocks), the ratio ``starter`` of starts
+    to the inside of sentences, whether it is ``common`` (with a capital here, mostly small inside sentences) and ``small``, and ``c``, what it
+    counts as: itself if it is known to start sentences or not to, one of the common ones, or its shape.
     """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        for batch in batches:
-            for t, declared in zip(batch["t"], batch["l"]):
-                if t:
-                    count_evidence(t, declared, found)
-            if len(found) > 200_000:
-                yield _frame(found)
-                found = Counter()
-        yield _frame(found)
-
-    raw = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInPandas(count, "lang string, kind string, w string, ws string, t string, ts string, n long")
-    counts = cut(raw.groupBy("lang", "kind", "w", "ws", "t", "ts").agg(F.sum("n").alias("n")))  # else every use below counts all texts again
-
-    def kept(df: DataFrame, by: list[str], key: str, shape_: str, share: float, floor: int) -> DataFrame:
-        """df with ``key`` replaced by its shape where it holds less than ``share`` of its group."""
-        total = df.groupBy(*by).agg(F.sum("n").alias("total"))
-        own = df.groupBy(*by, key).agg(F.sum("n").alias("own"))
-        rare = own.join(total, by).where((F.col("own") < F.col("total") * share) | (F.col("own") < floor)).select(*by, key, F.lit(True).alias("rare"))
-        joined = df.join(rare, [*by, key], "left")
-        return joined.withColumn(key, F.when(F.col("rare"), F.col(shape_)).otherwise(F.col(key))).drop("rare")
-
-    starts = kept(counts.where("kind = 'start'"), ["lang"], "t", "ts", START_SHARE, LEAST).groupBy("lang", "t").agg(F.sum("n").alias("n"))
-    pairs = counts.where("kind = 'pair'")
-    by_shape = pairs.withColumn("w", F.col("ws"))
-    words = kept(pairs, ["lang"], "w", "ws", WORD_SHARE, 3).where(F.col("w") != F.col("ws")).unionByName(by_shape)
-    case = counts.where("kind IN ('low', 'cap')").groupBy("lang", "t").agg(F.sum(F.when(F.col("kind") == "low", F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("kind") == "cap", F.col("n")).otherwise(0)).alias("cap"))
-    case = case.where((F.col("low") >= LEAST) & (F.col("low") > F.col("cap"))).withColumnRenamed("t", "small")
-    capital = pairs.where(F.lower("t") != F.col("t")).groupBy("lang", "t").agg(F.sum("n").alias("n")).join(pairs.groupBy("lang").agg(F.sum("n").alias("all")), "lang")
-    common = capital.where(F.col("n") >= F.col("all") * WORD_SHARE).withColumn("small", F.lower(F.ltrim(F.col("t"), F.lit("—“")))).join(case, ["lang", "small"]).select("lang", "t")
-    common = cut(common)
-    known = starts.select("lang", "t", F.lit(True).alias("known"))
-    follows = words.join(known, ["lang", "t"], "left")
-    per = follows.groupBy("lang", "w").agg(F.sum("n").alias("total"))
-    own = follows.groupBy("lang", "w", "t").agg(F.sum("n").alias("own"))
-    rare = own.join(per, ["lang", "w"]).where((F.col("own") < F.col("total") * FOLLOW_SHARE) | (F.col("own") < LEAST)).select("lang", "w", "t", F.lit(True).alias("rare"))
-    own_names = common.withColumn("common", F.lit(True))
-    follows = follows.join(rare, ["lang", "w", "t"], "left").join(own_names, ["lang", "t"], "left")
-    # a common word is counted as one of a class, a rare follower by its shape
-    follows = follows.withColumn("t", F.when(F.col("common"), F.lit("<common>")).when(F.col("known").isNull() & F.col("rare"), F.col("ts")).otherwise(F.col("t")))
-    follows = follows.groupBy("lang", "w", "t").agg(F.sum("n").alias("n"), F.min("ws").alias("ws"))
-    return _model([tuple(r) for r in starts.collect()], [tuple(r) for r in follows.collect()], [tuple(r) for r in common.collect()])
-
-
-def _frame(found: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "kind", "w", "ws", "t", "ts", "n"])
-
-
-def _model(starts: list[tuple], follows: list[tuple], common: list[tuple] = ()) -> Model:
-    model = Model(common=set(common))
-    total: Counter = Counter()
-    for lang, _, n in starts:
-        total[lang] += n
-    model.starts = {(lang, t): n / total[lang] for lang, t, n in starts}
-    counts: dict = defaultdict(Counter)
-    shapes = {}
-    for lang, w, t, n, ws in follows:
-        counts[lang, w][t] += n
-        shapes[lang, w] = ws
-    for (lang, w), seen in sorted(counts.items(), key=lambda x: shapes[x[0]] != x[0][1]):  # shapes first
-        n = sum(seen.values())
-        base = model.follows.get((lang, shapes[lang, w]), {}) if shapes[lang, w] != w else {}
-        weight = PRIOR if base else 0.0
-        p = {t: (c + weight * base.get(t, 0.0)) / (n + weight) for t, c in seen.items()}
-        for t, q in base.items():
-            if t != "<b>" and t not in p:
-                p[t] = weight * q / (n + weight)
-        p["<b>"] = sum(q if t == "<common>" else min(q, model.starts.get((lang, t), 0.0)) for t, q in p.items())
-        model.follows[lang, w] = p
-    return model
+    n = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    per = counts.groupBy("lang", "t").agg(F.min("ts").alias("ts"), n(START).alias("n_start"), n(INSIDE).alias("n_inside"))
+    totals = per.groupBy("lang").agg(F.sum("n_start").alias("ns"), F.sum("n_inside").alias("ni"))  # as many rows as language() has values
+    core = F.ltrim(F.col("t"), F.lit("—“"))
+    per = cut(per.join(F.broadcast(totals), "lang").withColumn("core", core).withColumn("low", F.lower("core")))
+    inside = per.where("n_inside > 0")
+    as_small = inside.select("lang", F.col("t").alias("low"), F.col("n_inside").alias("a"))
+    as_is = inside.select("lang", F.col("t").alias("core"), F.col("n_inside").alias("b"))
+    capital = per.where("low <> core").join(as_small, ["lang", "low"]).join(as_is, ["lang", "core"], "left").na.fill(0, ["b"])
+    half = (F.col("a") + F.col("b")) / 2
+    g = 2 * (F.col("a") * F.ln(F.col("a") / half) + F.when(F.col("b") > 0, F.col("b") * F.ln(F.col("b") / half)).otherwise(0.0))
+    common = capital.where((F.col("a") > F.col("b")) & (g > SIGNIFICANT)).select("lang", "t", F.lit(True).alias("common"))
+    starter = _g2(F.col("n_start"), F.col("ns"), F.col("n_inside"), F.col("ni"))
+    out = per.join(common, ["lang", "t"], "left").na.fill(False, ["common"]).withColumn("starter", starter)
+    known = F.when(F.col("common"), "<common>").when(F.abs("starter") > SIGNIFICANT, F.col("t")).otherwise(F.col("ts"))
+    return out.select("lang", "t", "n_start", "ns", "starter", "common", F.ltrim(F.col("ts"), F.lit("—“")).isin("<xx>", "<x>").alias("small"), known.alias("c"))
+
+
+def _ratios(cells: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of cells (lang, u, c, n): each with its collocation ratio g against the starts of blocks, and per (lang, u) the ratio v of
+    the hypotheses that collocates or that sentences follow.
+    """
+    total = cells.groupBy("lang", "u").agg(F.sum("n").alias("n_u"))
+    x = cells.join(total, ["lang", "u"]).join(starts, ["lang", "c"], "left").na.fill(0, ["k", "ns"])
+    expected = F.when(F.col("ns") > 0, F.col("n_u") * F.col("k") / F.col("ns")).otherwise(0.0)
+    g = F.when((F.col("c") == "<common>") | (F.col("n") < LIFT * expected), 0.0).otherwise(_g2(F.col("n"), F.col("n_u"), F.col("k"), F.col("ns")))
+    x = cut(x.withColumn("g", g).withColumn("more", F.when(F.col("g") > SIGNIFICANT, F.col("n") - expected).otherwise(0.0)))
+    low, high = RATES
+    more, n = F.sum("more"), F.max("n_u")
+    v = 2 * (more * log(high / low) + (n - more) * log((1 - high) / (1 - low)))
+    return x.select("lang", "u", "c", "g"), x.groupBy("lang", "u").agg(v.alias("v"))
+
+
+def learn(found: DataFrame) -> DataFrame:
+    """Which pairs (lang, w, t) of a word with a mark and what follows end a sentence, learned from all that was scanned: lang, w, t, ends.
+
+    Unsupervised, per language, by log-likelihood ratios over all counts:
+
+    - starters: a token among the starts of blocks against the inside of sentences (Dunning);
+    - collocations: what follows a word with a mark against the starts of blocks (Dunning, and at least LIFT times as often);
+    - abbreviations: whether the periods of a word have collocates behind them at the rate of an abbreviation or of a word
+      that ends sentences (RATES), weighted by length and inner periods as Kiss and Strunk do. A word whose ratio says nothing counts with all such words of its shape.
+
+    Behind an abbreviation a sentence begins only with a starter that is no collocate; behind ? ! … with anything but a small letter;
+    behind numbers, paths and closing marks with neither a small letter nor a collocate; behind any other word always if the word surely ends
+    sentences, else unless a small letter follows. A capital on a word that is otherwise written small begins a sentence anywhere.
+    """
+    counts = cut(found.where(F.col("kind").isin(PAIR, START, INSIDE)).groupBy("kind", "lang", "w", "ws", "t", "ts").agg(F.sum("n").alias("n")))
+    followers = cut(_followers(counts))
+    pairs = cut(counts.where(F.col("kind") == PAIR).select("lang", "w", "ws", "t", "n").join(followers.select("lang", "t", "starter", "common", "small", "c"), ["lang", "t"]))
+    totals = F.broadcast(followers.groupBy("lang").agg(F.max("ns").alias("ns")))
+    starts = cut(followers.groupBy("lang", "c").agg(F.sum("n_start").alias("k")).join(totals, "lang"))
+    cells = lambda u: pairs.withColumn("u", u).groupBy("lang", "u", "c").agg(F.sum("n").alias("n"))
+    _, words = _ratios(cells(F.col("w")), starts)
+    own = words.where(F.abs("v") > SIGNIFICANT).select("lang", F.col("u").alias("w"), F.lit(True).alias("own"))
+    pairs = cut(pairs.join(own, ["lang", "w"], "left").na.fill(False, ["own"]).withColumn("u", F.when(F.col("own"), F.concat(F.lit("w "), "w")).otherwise(F.concat(F.lit("s "), "ws"))))
+    each, per = _ratios(pairs.groupBy("lang", "u", "c").agg(F.sum("n").alias("n")), starts)
+    x = pairs.join(each, ["lang", "u", "c"]).join(per, ["lang", "u"])
+    plain = ~F.substring("w", 1, 1).isin("<", "…", "?", ".")
+    bare = F.replace(F.col("w"), F.lit("."), F.lit(""))
+    weighted = F.col("v") * F.exp(-F.length(bare)) * (1 + F.length("w") - F.length(bare)) - ABBREVIATION
+    v = F.when(F.col("own") & plain & (F.col("v") > 0), weighted).otherwise(F.col("v"))
+    start, no_collocate, mark = F.col("starter") > STARTER, F.col("g") <= SIGNIFICANT, F.substring("w", 1, 1)
+    ends = (
+        F.when(F.col("common"), True)
+        .when(mark.isin("?", "…"), ~F.col("small"))
+        .when(v > 0, start & no_collocate)
+        .when(mark.isin("<", "."), ~F.col("small") & no_collocate)
+        .otherwise(~F.col("small") | (F.col("own") & (v < -SIGNIFICANT)))
+    )
+    return x.select("lang", "w", "t", ends.alias("ends"))
 
 
 def sentence_ends(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Units of every text: doc, end_char (code points up to and including the unit's last character), one row each.
 
-    The statistics are learned from all texts, then every whole text is split. Null, empty and blank texts have no
-    units; repeated rows are split as often as they stand; null or wrong languages are told by script and function words.
+    Every whole text is scanned once: blocks, sure ends, places where a sentence may end and counts are written as one table.
+    The statistics are learned from all of it (see learn) and joined to the places; no text is read twice and no
+    statistic passes through the driver. Null, empty and blank texts have no units; repeated rows are split as often as they
+    stand; null or wrong languages are told by script and function words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, text, lang))
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, e) for d, t, declared in zip(batch["d"], batch["t"], batch["l"]) for e in units(t, declared, shared.value)]
-            yield pd.DataFrame(rows, columns=["d", "end_char"])
-
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    return rows.mapInPandas(split, "d long, end_char long").withColumnRenamed("d", doc)
+    rows = docs.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    return _ends(cut(rows.mapInArrow(scan, SCAN))).withColumnRenamed("doc", doc)
+
+
+def _ends(found: DataFrame) -> DataFrame:
+    """Ends (doc, end_char) of what was scanned."""
+    places = found.where(F.col("kind") == PAIR).select("row", "doc", "end", "lang", "w", "t", "block", "at")
+    told = join_measured(places, learn(found), ["lang", "w", "t"]).select("row", "doc", "end", "block", "at", "ends", F.lit(None).cast("int").alias("after"))
+    sure = found.where(F.col("kind").isin(UNIT, QUOTE)).select("row", "doc", "end", "block", "at", F.lit(True).alias("ends"), "after")
+    alone = told.where(F.col("block").isNull() & F.col("ends")).unionByName(sure.where("block IS NULL")).select("doc", F.col("end").cast("long").alias("end_char"))
+    # A quotation that begins its sentence, that is at the start of its block or right behind an end, ends no unit. Of quotations
+    # right behind each other every other one does, beginning with what stands before the run.
+    order = Window.partitionBy("row", "block").orderBy("at")
+    linked = F.col("after").isNotNull() & (F.col("after") == F.lag("at").over(order))
+    some = told.unionByName(sure).where("block IS NOT NULL").withColumn("linked", F.coalesce(linked, F.lit(False)))
+    some = some.withColumn("ends", F.coalesce(F.col("after") > 0, "ends")).withColumn("run", F.sum(F.when(F.col("linked"), 0).otherwise(1)).over(order))
+    within = Window.partitionBy("row", "block", "run").orderBy("at")
+    turned = F.first("ends").over(within) != (F.row_number().over(within) % 2 == 0)
+    chained = some.withColumn("turned", turned).where("turned").select("doc", F.col("end").cast("long").alias("end_char"))
+    return alone.unionByName(chained)
