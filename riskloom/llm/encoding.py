@@ -15,8 +15,12 @@ from pyspark.sql.types import ArrayType, IntegerType
 #: The public pattern that splits text before merging (fixed value); \s is written as the Unicode property it stands for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
-#: Pieces up to this many bytes are merged in matrices, longer ones each in a row of its own.
-MATRIX_BYTES = 256
+#: Bytes of the rows that a longer piece is cut into; a cut that a merge would cross is taken back, so rows can grow.
+ROW_BYTES = 128
+#: Places around each multiple of ROW_BYTES among which the cut goes to the one least likely to be merged over.
+ROW_PLAY = 12
+#: Cells of one matrix at most, unless one row has more.
+MATRIX_CELLS = 1 << 21
 #: Distinct pieces whose ids a Python worker keeps; beyond that it forgets all and goes on (results don't depend on it).
 KEPT_PIECES = 200_000
 
@@ -63,81 +67,160 @@ class Merges:
             real, keys, slots = real[on], keys[on], (slots[on] + 1) & self.mask
         return flat.reshape(left.shape)
 
-    def merge_matrix(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
-        """Ids of pieces of at most ``width`` bytes. Each round every row merges its leftmost pair of minimum rank."""
+    def merge_matrix(self, pieces: list[bytes], width: int, edges: dict[int, tuple[list, list]] = {}) -> list[np.ndarray]:  # noqa: B006 - only read where given
+        """Ids of pieces of at most ``width`` bytes. Each round every row merges its leftmost pair of minimum rank.
+
+        Further places of the same pair merge in the same round, from left to right, unless a merge makes a pair of lower
+        rank: that pair would come first. For the rows in ``edges`` it is noted how their first and their last token change:
+        (rank merged, highest rank so far).
+        """
         n = len(pieces)
-        lengths = np.fromiter(map(len, pieces), np.int64, n)
+        length = np.fromiter(map(len, pieces), np.int64, n)
         raw = np.zeros((n, width), np.uint8)
-        raw[np.arange(width) < lengths[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
-        ids = np.where(np.arange(width) < lengths[:, None], self.byte_ids[raw], -1).astype(np.int32)
-        result, rows = ids, np.arange(n)
-        if width > 1:
-            rank = self.ranks(ids[:, :-1], ids[:, 1:])
-            result = np.full_like(ids, -1)
-            while len(rows):
-                best = rank.argmin(1)
-                least = rank[np.arange(len(rows)), best]
-                done = least == NONE
-                if done.any():  # finished rows leave the matrix
-                    result[rows[done], : ids.shape[1]] = ids[done]
-                    go = ~done
-                    rows, ids, rank, best, least = rows[go], ids[go], rank[go], best[go], least[go]
-                    if not len(rows):
-                        break
-                each, w = np.arange(len(rows)), ids.shape[1]
-                ids[each, best] = least
-                keep = np.arange(w) != best[:, None] + 1
-                ids = ids[keep].reshape(-1, w - 1)
-                if w == 2:
-                    result[rows, :1] = ids
-                    break
-                rank = rank[np.arange(w - 1) != np.minimum(best, w - 2)[:, None]].reshape(-1, w - 2)
-                after = best < w - 2
-                rank[each[after], best[after]] = self.ranks(ids[each[after], best[after]], ids[each[after], best[after] + 1])
-                before = best > 0
-                rank[each[before], best[before] - 1] = self.ranks(ids[each[before], best[before] - 1], ids[each[before], best[before]])
-        lasts = (result >= 0).sum(1)
-        return [r[:k] for r, k in zip(result, lasts)]
-
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        """Ids of one long piece: all occurrences of the minimum-rank pair at once, as long as that equals merging them one by one."""
+        raw[np.arange(width) < length[:, None]] = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = np.where(np.arange(width) < length[:, None], self.byte_ids[raw], -1).astype(np.int32)
+        rank = np.full((n, width), NONE, np.int32)  # of each token with the one behind it
+        rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
+        out: list = [None] * n
+        rows, noted, highest = np.arange(n), np.zeros(n, bool), np.full(n, -1, np.int32)
+        noted[list(edges)] = True
+        while True:
+            least = rank.min(1)
+            done = least == NONE
+            for i in np.flatnonzero(done):  # finished rows leave the matrix
+                out[rows[i]] = ids[i, : length[i]]
+            if done.any():
+                go = ~done
+                rows, ids, rank, least, length = rows[go], ids[go], rank[go], least[go], length[go]
+            if not len(rows):
+                return out
+            r, c = np.nonzero(rank == least[:, None])
+            beside = np.zeros(len(r), bool)
+            beside[1:] = (r[1:] == r[:-1]) & (c[1:] == c[:-1] + 1)
+            if beside.any():  # of places that overlap every other one
+                place = np.arange(len(r))
+                even = (place - np.maximum.accumulate(np.where(beside, 0, place))) % 2 == 0
+                r, c = r[even], c[even]
+            first = np.ones(len(r), bool)
+            first[1:] = r[1:] != r[:-1]
+            if not first.all():
+                token, w = least[r], ids.shape[1]
+                right = np.where(c + 2 < w, ids[r, np.minimum(c + 2, w - 1)], -1)
+                left = np.where(c > 0, ids[r, np.maximum(c - 1, 0)], -1)
+                merged = np.zeros(len(r), bool)
+                merged[1:] = ~first[1:] & (c[1:] == c[:-1] + 2)
+                left = np.where(merged, token, left)
+                lower = (self.ranks(token, right) < token) | (self.ranks(left, token) < token)
+                alone = np.zeros(len(rows), bool)
+                alone[r[lower]] = True
+                some = first | ~alone[r]
+                r, c, first = r[some], c[some], first[some]
+            if edges:
+                highest[rows] = np.maximum(highest[rows], least)
+                for side, at in ((0, c == 0), (1, c == length[r] - 2)):
+                    for i in r[at & noted[rows[r]]]:
+                        edges[rows[i]][side].append((int(least[i]), int(highest[rows[i]])))
+            ids[r, c] = least[r]
+            keep = np.arange(ids.shape[1]) < length[:, None]
+            keep[r, c + 1] = False
+            length = keep.sum(1)
+            place = np.cumsum(keep, 1) - 1
+            at, c = place[r, c], np.nonzero(keep)
+            to = c[0], place[c]
+            ids, old = np.full((len(rows), length.max()), -1, np.int32), (ids[c], rank[c])
+            rank = np.full(ids.shape, NONE, np.int32)
+            ids[to], rank[to] = old
+            w = ids.shape[1]
+            rank[r, at] = self.ranks(ids[r, at], np.where(at + 1 < w, ids[r, np.minimum(at + 1, w - 1)], -1))
+            before = at > 0
+            rank[r[before], at[before] - 1] = self.ranks(ids[r[before], at[before] - 1], ids[r[before], at[before]])
+
+    def _cuts(self, piece: bytes) -> list[int]:
+        """Where a piece is cut into rows: near each multiple of ROW_BYTES, between the bytes that merge last or never."""
+        if len(piece) <= 2 * ROW_BYTES:
+            return [0, len(piece)]
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        while len(ids) > 1:
-            rank = self.ranks(ids[:-1], ids[1:])
-            least = rank.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(rank == least)
-            run = np.arange(len(at)) - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
-            at = at[run % 2 == 0]  # of pairs that overlap, from the left every other one
-            for some in (at, at[:1]):
-                merged, keep = ids.copy(), np.ones(len(ids), bool)
-                merged[some], keep[some + 1] = least, False
-                merged = merged[keep]
-                new = np.flatnonzero(merged == least)
-                near = np.unique(np.concatenate([new, new - 1]))
-                near = near[(near >= 0) & (near < len(merged) - 1)]
-                if len(some) == 1 or not (self.ranks(merged[near], merged[near + 1]) < least).any():
-                    break
-            ids = merged
-        return ids
+        at = np.arange(ROW_BYTES, len(piece) - ROW_BYTES // 2, ROW_BYTES)
+        places = at[:, None] + np.array(sorted(range(-ROW_PLAY, ROW_PLAY + 1), key=abs))
+        best = self.ranks(ids[places - 1], ids[places]).argmax(1)
+        return [0, *places[np.arange(len(at)), best].tolist(), len(piece)]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def _crossed(self, a: int, left: list[tuple[int, int]], b: int, right: list[tuple[int, int]]) -> bool:
+        """Whether a merge of the whole piece might cross a cut. a and b are the bytes' ids beside it, left and right how the last and the first token change.
+
+        The two tokens at the cut stand side by side from when the later of them came to be until the first of them is
+        merged into its own row. If they make a token of a rank not above that, the cut does not hold. At equal rank the row on the left merges first.
+        """
+        i = j = 0
+        since = -1
+        while True:
+            rank = self.pair(a, b)
+            mine, own = left[i] if i < len(left) else (NONE, NONE)
+            theirs = right[j][1] if j < len(right) else NONE
+            if rank != NONE:
+                when = max(rank, since)
+                first = when > own or when == own == mine == rank
+                if not first and when <= theirs:
+                    return True
+            if own == theirs == NONE:
+                return False
+            if own <= theirs:
+                a, i, since = mine, i + 1, max(since, own)
+            else:
+                b, j, since = right[j][0], j + 1, max(since, theirs)
+
+    def pair(self, left: int, right: int) -> int:
+        key = left << 20 | right
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> int(self.shift)
+        while True:
+            at = int(self.keys[slot])
+            if at == key:
+                return int(self.values[slot])
+            if at == -1:
+                return int(NONE)
+            slot = slot + 1 & self.mask
+
+    def _merge_all(self, pieces: list[bytes], edges: dict[int, tuple[list, list]]) -> list[np.ndarray]:
         """Ids of each piece; pieces are bucketed by length, so that padding at most doubles a matrix."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out: list = [None] * len(pieces)
-        low, width = 0, 4
-        while low < MATRIX_BYTES:
+        low, width, longest = 0, 4, int(lengths.max(initial=0))
+        while low < longest:
             where = np.flatnonzero((lengths > low) & (lengths <= width))
-            for part in range(0, len(where), 65_536):
-                some = where[part : part + 65_536]
-                for i, ids in zip(some, self.merge_matrix([pieces[i] for i in some], width)):
-                    out[i] = ids.tolist()
+            most = max(1, MATRIX_CELLS // width)
+            for part in range(0, len(where), most):
+                some = where[part : part + most].tolist()
+                for i, ids in zip(some, self.merge_matrix([pieces[i] for i in some], width, {k: edges[i] for k, i in enumerate(some) if i in edges})):
+                    out[i] = ids
             low, width = width, width * 2
-        for i in np.flatnonzero(lengths > MATRIX_BYTES):
-            out[i] = self.merge_long(pieces[i]).tolist()
         return out
 
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece. Pieces of any length become rows of the matrices: long ones several, of which those are joined again whose cut a merge would cross."""
+        cuts = [self._cuts(p) for p in pieces]
+        done: list[dict[int, tuple]] = [{} for _ in pieces]  # per piece: start of a row -> (end, ids, changes of its first and last token)
+        todo = [(i, a, b) for i, c in enumerate(cuts) for a, b in zip(c, c[1:])]
+        while todo:
+            edges = {k: ([], []) for k, (i, a, b) in enumerate(todo) if b - a < len(pieces[i])}
+            for k, ids in enumerate(self._merge_all([pieces[i][a:b] for i, a, b in todo], edges)):
+                i, a, b = todo[k]
+                done[i][a] = (b, ids, *edges.get(k, ([], [])))
+            again = {i for i, a, b in todo if b - a < len(pieces[i])}
+            todo = []
+            for i in again:
+                piece, rows, kept, free = pieces[i], done[i], [0], 0
+                for a, c in zip(cuts[i], cuts[i][1:-1]):
+                    if c < free:
+                        continue
+                    if self._crossed(int(self.byte_ids[piece[c - 1]]), rows[a][3], int(self.byte_ids[piece[c]]), rows[c][2]):
+                        free = 2 * c - a  # a joined row is at least twice as long, so that joining ends after few rounds
+                    else:
+                        kept.append(c)
+                kept.append(len(piece))
+                todo += [(i, a, b) for a, b in zip(kept, kept[1:]) if rows[a][0] != b]
+                cuts[i] = kept
+        return [list(itertools.chain.from_iterable(done[i][a][1].tolist() for a in c[:-1])) if len(p) else [] for i, (p, c) in enumerate(zip(pieces, cuts))]
+
 
 class Encoder:
     """Text to ids: pattern split, then merges of the pieces not seen before."""

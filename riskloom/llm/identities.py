@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
@@ -211,6 +211,12 @@ def _weak_links(profiles: DataFrame) -> DataFrame:
     return abbreviated.unionByName(nick).unionByName(typo).where(F.col("label") != F.col("to"))
 
 
+def _left(rows: DataFrame, other: DataFrame, on: str, asks: Column) -> DataFrame:
+    """rows left joined to other, of which only those that ask take part: the others, which all share one value, meet no task of the join."""
+    flag = next(c for c in other.columns if c != on)
+    return rows.where(asks).join(other, on, "left").unionByName(rows.where(~asks).withColumn(flag, F.lit(None).cast("boolean")))
+
+
 def link_identities(rows: DataFrame, author: str = "author", email: str = "author_email") -> DataFrame:
     """Identities (distinct spellings of name and address) with the person they belong to.
 
@@ -227,9 +233,9 @@ def link_identities(rows: DataFrame, author: str = "author", email: str = "autho
     facts = distinct.select(ident_of("a", "e").alias("id"), _evidence("a", "e").alias("v")).select("id", "v.*").where(~F.col("role"))
     facts = cut(facts)
     boxes = facts.select(F.explode("strong").alias("base")).distinct().withColumn("stands", F.lit(True))
-    facts = facts.join(boxes, "base", "left").withColumn("namesake", F.coalesce("stands", F.lit(False)))
+    facts = _left(facts, boxes, "base", F.col("base").isNotNull()).withColumn("namesake", F.coalesce("stands", F.lit(False)))
     logins = facts.where((F.col("kind") == "full") & (F.col("handle") != "")).select(F.col("handle").alias("login")).distinct().withColumn("owned", F.lit(True))
-    facts = facts.join(logins, "login", "left").where((F.col("kind") != "login") | F.coalesce("owned", F.lit(False)))
+    facts = _left(facts, logins, "login", F.col("kind") == "login").where((F.col("kind") != "login") | F.coalesce("owned", F.lit(False)))
     none = F.array().cast("array<string>")
     facts = cut(facts.select("id", "strong", "initial", "confirmed", F.when(F.col("namesake"), none).otherwise(F.col("names")).alias("open_names")))
 

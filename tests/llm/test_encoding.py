@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,12 +29,22 @@ def test_equals_public_library_on_hard_texts(pair):
     assert ours.encode(texts) == [theirs.encode_ordinary(t) for t in texts]
 
 
-def test_long_pieces_equal_matrix_pieces(pair):
-    merges = pair[0].merges
-    rng = random.Random(6)
-    for n in (2, 3, 17, 64, 200, 256):
-        piece = bytes(rng.choice(b"abcdeth ") for _ in range(n))
-        assert merges.merge_long(piece).tolist() == merges.encode_pieces([piece])[0]
+@pytest.mark.parametrize("seed", range(6))
+def test_long_pieces_equal_public_library(pair, seed):
+    ours, theirs = pair
+    rng = random.Random(seed)
+    letters = ["ab", "abc", "abcdefghijklmnopqrstuvwxyz", "etaoinshrdlu", "日本語の文章を書く", "=-", "аеиостнр", "éèà"][seed:] + ["ก่ขคงจ", "0123456789"]
+    texts = ["".join(rng.choice(x) for _ in range(n)) for x in letters for n in (255, 256, 257, 700, 5000)]
+    texts += ["the" * 900, "ab" * 3000 + "c", "internationalization" * 300, " " * rng.randint(300, 5000), "\n" * rng.randint(300, 3000), "=" * rng.randint(300, 9000), "a" * rng.randint(300, 9000)]
+    assert ours.encode(texts) == [theirs.encode_ordinary(t) for t in texts]
+
+
+def test_work_grows_with_the_piece(pair):
+    rng = random.Random(3)
+    for text in ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000)), "a" * 200_000, " " * 200_000, "日本語の文章" * 20_000):
+        began = time.time()
+        ids = pair[0].encode([text])[0]
+        assert time.time() - began < 20 and pair[1].decode(ids) == text
 
 
 def test_null_empty_repeated_and_extra_columns(spark):
