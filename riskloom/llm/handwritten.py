@@ -1,4 +1,4 @@
-"""Generated, minified, vendored and data files among source files, by a random forest and by paths it vouches for."""
+"""Generated, minified, vendored and data files among source files, by a random forest and by paths learned from what it finds."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
@@ -21,8 +21,12 @@ from ..runtime import cut, join_measured
 FIT_ROWS = 10_000
 #: Share of a class's mean score among its labelled files from which on a file belongs to it.
 SCORE_SHARE = 0.3
-#: Evidence that makes a path token decide: positives / (files + 2) over the files whose content is known.
+#: Evidence that makes a path token decide: files found by content / (files + 2) over the files whose content is known.
 PATH_PRECISION = 0.75
+#: Share of the mean rate of notices under the best token of each copy with a notice, from which on all files under a token are copies.
+COPY_SHARE = 0.5
+#: Rate of notices under a token from which on a file without one tells nothing about hand-written files.
+SUSPECT_RATE = 0.25
 
 _HEAD_LINES = 12
 _COMMENT = re.compile(r"\s*(//|#(?!!)|/\*|\*|<!--|--|;)")
@@ -140,9 +144,9 @@ def _forest(described: DataFrame):
     """A random forest fitted on labelled files: a function that adds ``by_forest`` to described files, or None without labels.
 
     Classes are files with a notice of a generator, files with the banner of a minifier, files that are data
-    literals for the most part, and all others. Files with a vendor's notice look hand-written and files whose path follows a
-    convention of tools are of unknown class: both are left out. Among the others some are not hand-written though
-    nothing says so. The probability of each class is therefore compared with its mean over the files that bear the
+    literals for the most part (data bears no notices: its label is its share of literals), and all others. Files with a vendor's notice look
+    hand-written, and files under path tokens where notices are frequent are of unknown class: both are left out. Among the others some are
+    not hand-written though nothing says so. The probability of each class is therefore compared with its mean over the files that bear the
     label (times SCORE_SHARE), which corrects for files of the class without label. Of each class the FIT_ROWS files of smallest hash are used.
     """
     from pyspark.ml.classification import RandomForestClassifier
@@ -150,7 +154,7 @@ def _forest(described: DataFrame):
     from pyspark.ml.functions import vector_to_array
 
     none = F.col("notice").isNull()
-    label = F.when(F.col("notice") == "generated", 1.0).when(F.col("notice") == "build", 2.0).when(none & (F.col("literal") > 0.6), 3.0).when(none & ~F.col("tool"), 0.0)
+    label = F.when(F.col("notice") == "generated", 1.0).when(F.col("notice") == "build", 2.0).when(none & (F.col("literal") > 0.6), 3.0).when(none & ~F.col("suspect"), 0.0)
     rows = described.where(F.col("ratio").isNotNull()).withColumn("label", label).where(F.col("label").isNotNull())
     order = F.xxhash64("analysis_id", "path")
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features").transform
@@ -171,39 +175,67 @@ def _forest(described: DataFrame):
     return lambda df: score(df).withColumn("by_forest", hit).drop("scores")
 
 
-def not_handwritten(paths: DataFrame, sources: DataFrame) -> DataFrame:
+def _rates(files: DataFrame, positive: Column, other: Column) -> DataFrame:
+    """Per path token: files / (files that are not ``other`` + 2) that are positive."""
+    per = files.select(F.explode("tokens").alias("token"), positive.cast("int").alias("k"), other.cast("int").alias("o")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.sum("o").alias("o"))
+    return per.where("k > 0").select("token", (F.col("k") / (F.col("n") - F.col("o") + 2)).alias("rate"))
+
+
+def _best(files: DataFrame, rates: DataFrame) -> DataFrame:
+    """The token of highest rate of each file, as (token, rate, files): others under which it happens to lie get no credit for it."""
+    each = join_measured(files.select("analysis_id", "path", F.explode("tokens").alias("token")), rates, ["token"])
+    best = each.groupBy("analysis_id", "path").agg(F.max(F.struct("rate", "token")).alias("b"))
+    return best.groupBy("b.token", "b.rate").agg(F.count(F.lit(1)).alias("files"))
+
+
+def _learned_tokens(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Path tokens (token) under which files come from tools, and those under which they are copies, from read files (tokens, verdict, notice).
+
+    Tools: nearly all files under the token were found by content. Copies look hand-written and only some bear a
+    notice; if those are chosen by chance, the rate of notices under a token of nothing but copies is what it is on average under the best
+    token of each copy with a notice, and COPY_SHARE of that is enough.
+    """
+    copy = F.coalesce(F.col("notice") == "vendored", F.lit(False))
+    tool = (F.col("verdict") != "none") & ~copy
+    tools, copies = cut(_rates(read, tool, copy)), cut(_rates(read, copy, tool))
+    by_tool = _best(read.where(tool), tools).where(F.col("rate") >= PATH_PRECISION).select("token")
+    best = cut(_best(read.where(copy), copies))
+    mean = best.agg(F.sum(F.col("rate") * F.col("files")) / F.sum("files")).first()[0] or 0.0  # one number
+    by_copy = best.where(F.col("rate") >= mean * COPY_SHARE).select("token")
+    return cut(by_tool), cut(by_copy)
+
+
+def not_handwritten(paths: DataFrame, sources: DataFrame, conventions: bool = True) -> DataFrame:
     """Which files no one wrote by hand, and by what evidence.
 
     paths (analysis_id, file_path) may repeat; sources (analysis_id, path, content) may lack files. A file is found by a
-    notice in its header comments, by the forest's score of its content, by the share of data literals, or by its
-    path. A path decides by convention, or by a token (folder, base name, ending) under which nearly all files
-    of known content, over the whole corpus, were found; a content that was read and cleared is overruled by convention only.
+    notice in its header comments, by the forest's score of its content, or by its path: by a token (folder, base name, ending) that
+    was learned, over the whole corpus, from the files of known content (see _learned_tokens), else by conventions of tools.
+    A content that was read and cleared is overruled by tokens of copies, which look hand-written, and by conventions only;
+    ``conventions=False`` leaves the latter out.
 
-    Result: analysis_id, file_path, evidence (notice, forest, literals, convention or path), one row per file found.
+    Result: analysis_id, file_path, evidence (notice, forest, path or convention), one row per file found.
     Null path or analysis: left out. Null or missing content: by path only. Empty content: by path only.
     """
     files = paths.where(F.col("analysis_id").isNotNull() & F.col("file_path").isNotNull()).select("analysis_id", F.col("file_path").alias("path")).distinct()
     described = sources.where(F.col("path").isNotNull() & F.col("analysis_id").isNotNull()).select(
         "analysis_id", "path", _describe(F.when(F.trim("content") != "", F.col("content"))).alias("v")
     )
-    described = described.select("analysis_id", "path", "v.*").dropDuplicates(["analysis_id", "path"])
-    described = cut(described.withColumn("tool", _path("path")["tool"]))
+    described = cut(described.select("analysis_id", "path", "v.*").dropDuplicates(["analysis_id", "path"]).withColumn("tokens", _path("path")["tokens"]))
+    read = described.where(F.col("ratio").isNotNull())
+    often = _rates(read, F.col("notice").isNotNull(), F.lit(False)).where(F.col("rate") >= SUSPECT_RATE).select("token")
+    suspect = join_measured(read.select("analysis_id", "path", F.explode("tokens").alias("token")), often, ["token"]).select("analysis_id", "path").distinct().withColumn("suspect", F.lit(True))
+    described = cut(read.join(suspect, ["analysis_id", "path"], "left").na.fill(False, ["suspect"]))
     score = _forest(described) or (lambda df: df.withColumn("by_forest", F.lit(False)))
-    known = score(described.where(F.col("ratio").isNotNull()))
-    verdict = F.when(F.col("notice").isNotNull(), "notice").when(F.col("literal") > 0.6, "literals").when(F.col("by_forest"), "forest").otherwise("none")
-    read = known.select("analysis_id", "path", verdict.alias("verdict"))
-    everything = cut(files.join(read, ["analysis_id", "path"], "full_outer").withColumn("v", _path("path")).select("analysis_id", "path", "verdict", "v.*"))
-    found = F.col("verdict") != "none"
-    marks = (
-        everything.where(F.col("verdict").isNotNull())
-        .select(F.explode("tokens").alias("token"), (found | F.col("tool")).cast("int").alias("found"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("found").alias("k"))
-        .where(F.col("k") >= PATH_PRECISION * (F.col("n") + 2))
-        .select("token")
-    )
-    unread = everything.where(F.col("verdict").isNull() & ~F.col("tool"))
-    told = join_measured(unread.select("analysis_id", "path", F.explode("tokens").alias("token")), marks, ["token"]).select("analysis_id", "path").distinct().withColumn("told", F.lit(True))
-    evidence = F.when(found, F.col("verdict")).when(F.col("tool"), F.lit("convention")).when(F.col("told"), F.lit("path"))
-    out = everything.join(files, ["analysis_id", "path"], "left_semi").join(told, ["analysis_id", "path"], "left").withColumn("evidence", evidence)
+    verdict = F.when(F.col("notice").isNotNull(), "notice").when(F.col("by_forest"), "forest").otherwise("none")
+    known = cut(score(described).select("analysis_id", "path", "tokens", "notice", verdict.alias("verdict")))
+    by_tool, by_copy = _learned_tokens(known)
+    everything = cut(files.join(known.select("analysis_id", "path", "verdict"), ["analysis_id", "path"], "left").withColumn("v", _path("path")).select("analysis_id", "path", "verdict", "v.*"))
+    marks = by_tool.withColumn("copy", F.lit(False)).unionByName(by_copy.withColumn("copy", F.lit(True)))
+    open_ = everything.where("verdict IS NULL OR verdict = 'none'").select("analysis_id", "path", F.col("verdict").isNull().alias("unread"), F.explode("tokens").alias("token"))
+    told = join_measured(open_, marks, ["token"]).where("copy OR unread").select("analysis_id", "path").distinct().withColumn("told", F.lit(True))
+    evidence = F.when(F.col("verdict") != "none", F.col("verdict")).when(F.col("told"), F.lit("path"))
+    if conventions:
+        evidence = evidence.when(F.col("tool"), F.lit("convention"))
+    out = everything.join(told, ["analysis_id", "path"], "left").withColumn("evidence", evidence)
     return out.where(F.col("evidence").isNotNull()).select("analysis_id", F.col("path").alias("file_path"), "evidence")
