@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_bug_fix
 from ..runtime import normal_hash, table
 from .commit_refs import resolve
+from .pairs import pair_counts
 
 DAY_MS = 86_400_000.0
 FILE = ["analysis_id", "file_path"]
@@ -25,7 +26,7 @@ def commits_of(spark: SparkSession, folder: str) -> DataFrame:
 def changes_of(spark: SparkSession, folder: str) -> DataFrame:
     """One row per change (analysis_id, hash, file_path) of a known commit with a time, with the commit's columns.
 
-    Rows are reduced to changes before they meet the commits; n_files (files of the commit) travels with the
+    Of rows that repeat a change the larger counts stand, as everywhere. Rows are reduced to changes before they meet the commits; n_files (files of the commit) travels with the
     commit side, so the changes are shuffled once more for the join and not for the count.
     """
     commits = commits_of(spark, folder).where(F.col("ts").isNotNull())
@@ -34,9 +35,9 @@ def changes_of(spark: SparkSession, folder: str) -> DataFrame:
     )
     rows = rows.select("analysis_id", normal_hash("commit_hash").alias("ref"), "file_path", "lines_added", "lines_deleted", "change_type", "loaded_at", "row_id")
     zero = F.lit(0)
-    first = F.min_by(F.struct(F.coalesce("lines_added", zero).alias("added"), F.coalesce("lines_deleted", zero).alias("deleted"), "change_type"), F.struct("loaded_at", "row_id")).alias("c")
+    states = [F.max(F.coalesce("lines_added", zero)).alias("added"), F.max(F.coalesce("lines_deleted", zero)).alias("deleted"), F.min_by("change_type", F.struct("loaded_at", "row_id")).alias("change_type")]
     known = table(spark, folder, "process_commits", "analysis_id", "hash").select("analysis_id", normal_hash("hash").alias("hash")).where(F.col("hash").isNotNull())
-    changes = resolve(rows, known).groupBy("analysis_id", "hash", "file_path").agg(first).select("analysis_id", "hash", "file_path", "c.*")
+    changes = resolve(rows, known).groupBy("analysis_id", "hash", "file_path").agg(*states)
     sizes = changes.groupBy("analysis_id", "hash").agg(F.count(F.lit(1)).alias("n_files"))
     newest = commits.groupBy("analysis_id").agg(F.max("ts").alias("now"))
     return changes.join(commits.join(sizes, ["analysis_id", "hash"]).join(newest, "analysis_id"), ["analysis_id", "hash"])
@@ -108,10 +109,9 @@ def author_shares(changes: DataFrame) -> DataFrame:
 
 
 def co_changes(changes: DataFrame) -> DataFrame:
-    """Pairs of files changed in the same commit (smaller path first) and their number of commits."""
-    files = changes.select("analysis_id", "hash", "file_path")
-    a, b = files.withColumnRenamed("file_path", "file_a"), files.withColumnRenamed("file_path", "file_b")
-    return a.join(b, ["analysis_id", "hash"]).where(F.col("file_a") < F.col("file_b")).groupBy("analysis_id", "file_a", "file_b").agg(F.count(F.lit(1)).alias("n"))
+    """Pairs of files changed in the same commit (smaller path first) and their number of commits; commits of many files are split (see pair_counts)."""
+    pairs = pair_counts(changes.select("analysis_id", "hash", "file_path"), "analysis_id", "hash", "file_path")
+    return pairs.select(F.col("g").alias("analysis_id"), F.least("i1", "i2").alias("file_a"), F.greatest("i1", "i2").alias("file_b"), F.col("n_ab").alias("n"))
 
 
 def co_changes_by_file(pairs: DataFrame, most: int | None = None) -> DataFrame:

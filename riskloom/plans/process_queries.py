@@ -52,16 +52,11 @@ def cochange_top20(spark: SparkSession, d: str) -> DataFrame:
     return cochange_pairs(spark, d).orderBy(F.desc("n"), "analysis_id", "file_a", "file_b").limit(20)
 
 
-def cochange_all_by_file(spark: SparkSession, d: str) -> DataFrame:
+def cochange_by_file(spark: SparkSession, d: str) -> DataFrame:
     """All companions of every file with their place."""
     return P.co_changes_by_file(cochange_pairs(spark, d))
 
 
-def cochange_by_file(spark: SparkSession, d: str) -> DataFrame:
-    """The first five of cochange_all_by_file, as its SQL has them."""
-    return P.co_changes_by_file(cochange_pairs(spark, d), 5)
-
-
 def hotspots_top10(spark: SparkSession, d: str) -> DataFrame:
     return P.jit_features(P.changes_of(spark, d)).orderBy(F.desc("revisions"), "analysis_id", "file_path").select(*P.FILE, "revisions", "bug_fix_commits").limit(10)
 
@@ -104,7 +99,7 @@ def commit_walk(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (jit_features, changes, changes_averaged, change_entropy, entropy_window_90d, author_ownership, minor_contributors, cochange_pairs, cochange_top20, cochange_all_by_file, cochange_by_file, hotspots_top10, process_findings, process_risk, severity_counts, bug_fix_commits, file_languages, latest_analysis, commit_walk)
+    for f in (jit_features, changes, changes_averaged, change_entropy, entropy_window_90d, author_ownership, minor_contributors, cochange_pairs, cochange_top20, cochange_by_file, hotspots_top10, process_findings, process_risk, severity_counts, bug_fix_commits, file_languages, latest_analysis, commit_walk)
 }
 
 _BUG = "regexp_matches(lower(message), 'fix|bug|crash|defect|error|hotfix|patch|issue|#')"
@@ -113,8 +108,8 @@ CHANGES = f"""{_RESOLVED},
 kc AS (SELECT analysis_id, {_NORMAL.format('hash')} AS hash, author, author_email, timestamp_ms AS ts, message, loaded_at, row_id FROM process_commits WHERE hash IS NOT NULL),
 uc AS (SELECT * FROM kc QUALIFY row_number() OVER (PARTITION BY analysis_id, hash ORDER BY loaded_at, row_id) = 1),
 rc AS (SELECT r.*, x.change_type FROM resolved r JOIN process_file_changes x ON x.row_id = r.row_id WHERE r.file_path IS NOT NULL),
-ux AS (SELECT analysis_id, h AS hash, file_path, coalesce(lines_added, 0) AS added, coalesce(lines_deleted, 0) AS deleted, change_type FROM rc
-       QUALIFY row_number() OVER (PARTITION BY analysis_id, h, file_path ORDER BY loaded_at, row_id) = 1),
+ux AS (SELECT analysis_id, h AS hash, file_path, max(coalesce(lines_added, 0)) OVER w AS added, max(coalesce(lines_deleted, 0)) OVER w AS deleted, change_type FROM rc
+       WINDOW w AS (PARTITION BY analysis_id, h, file_path) QUALIFY row_number() OVER (PARTITION BY analysis_id, h, file_path ORDER BY loaded_at, row_id) = 1),
 ch AS (SELECT ux.*, author, ts, message, count(*) OVER (PARTITION BY ux.analysis_id, ux.hash) AS n_files, n.now, (n.now - ts) / 86400000.0 AS ago, added + deleted AS l
        FROM ux JOIN uc ON uc.analysis_id = ux.analysis_id AND uc.hash = ux.hash
        JOIN (SELECT analysis_id, max(ts) AS now FROM uc GROUP BY ALL) n ON n.analysis_id = ux.analysis_id WHERE ts IS NOT NULL)
@@ -165,8 +160,7 @@ SQL = {
     "minor_contributors": f"WITH {JIT} SELECT analysis_id, file_path, count(*) AS n FROM (SELECT *, sum(churn) OVER (PARTITION BY analysis_id, file_path) AS t FROM au) WHERE CASE WHEN t > 0 THEN churn / t ELSE 0 END < 0.05 GROUP BY ALL",
     "cochange_pairs": f"WITH {CHANGES}, {_PAIRS} SELECT * FROM pairs",
     "cochange_top20": f"WITH {CHANGES}, {_PAIRS} SELECT * FROM pairs ORDER BY n DESC, analysis_id, file_a, file_b LIMIT 20",
-    "cochange_all_by_file": f"WITH {CHANGES}, {_PAIRS} SELECT *, row_number() OVER (PARTITION BY analysis_id, file_path ORDER BY n DESC, with_file) AS place FROM {_BY_FILE}",
-    "cochange_by_file": f"WITH {CHANGES}, {_PAIRS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, file_path ORDER BY n DESC, with_file) AS place FROM {_BY_FILE}) WHERE place <= 5",
+    "cochange_by_file": f"WITH {CHANGES}, {_PAIRS} SELECT *, row_number() OVER (PARTITION BY analysis_id, file_path ORDER BY n DESC, with_file) AS place FROM {_BY_FILE}",
     "hotspots_top10": f"WITH {JIT} SELECT analysis_id, file_path, revisions, bug_fix_commits FROM jit ORDER BY revisions DESC, analysis_id, file_path LIMIT 10",
     "process_findings": f"WITH {FINDINGS} SELECT * FROM findings",
     "process_risk": f"WITH {FINDINGS} SELECT analysis_id, errors, warnings, round(max_entropy, 6) AS max_entropy, round(risk, 6) AS risk FROM prisk",
