@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,29 +42,25 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
+#: A block comment; a line comment inside it hides its end.
+_BLOCK = r"/\*(?://[^\n]*|/\*|(?!\*/).)*+(?:\*/)?"
+#: Comments alone or beside strings, which end at their own mark; and with strings that end at either mark.
+_COMMENTS = re.compile(r"""(?P<keep>"(?:\\.|[^"\\])*+"?|'(?:\\.|[^'\\])*+'?)|//[^\n]*|""" + _BLOCK, re.S)
+_COMMENTS_STRINGS = re.compile(r"""(?P<string>["'](?:\\.|[^"'\\])*+["']?)|//[^\n]*|""" + _BLOCK, re.S)
+
+
+def _blank(m: re.Match) -> str:
+    text = m.group()
+    if m.lastgroup == "keep":
+        return text
+    if m.lastgroup == "string":
+        return " " * len(text)
+    return "" if text.startswith("//") else re.sub(r"[^\n]", " ", text)
+
+
 def _strip(source: str, strings: bool) -> str:
-    """Source without comments, and without strings if wanted: a scan over the places where state can change."""
-    out, i, n = [], 0, len(source)
-    while i < n:
-        c = source[i]
-        if c in "\"'":
-            j = i + 1
-            while j < n and source[j] != c if not strings else j < n and source[j] not in "\"'":
-                j += 2 if source[j] == "\\" else 1
-            out.append(" " * (min(j, n - 1) - i + 1) if strings else source[i : j + 1])
-            i = j + 1
-        elif source.startswith("//", i) or (strings and c == "#"):
-            j = source.find("\n", i)
-            i = n if j < 0 else j
-        elif source.startswith("/*", i):
-            j = source.find("*/", i + 2)
-            j = n if j < 0 else j + 2
-            out.append("".join("\n" if x == "\n" else " " for x in source[i:j]))
-            i = j
-        else:
-            out.append(c)
-            i += 1
-    return "".join(out)
+    """Source without comments, and without strings if wanted, in one pass over the places where either begins."""
+    return (_COMMENTS_STRINGS if strings else _COMMENTS).sub(_blank, source)
 
 
 @pandas_udf(StringType())
@@ -80,15 +78,20 @@ def count_allocations(text: Column) -> Column:
     return F.least(count_all(without_comments_and_strings(text), ALLOCATIONS), F.lit(1000).cast("long"))
 
 
+#: Beginnings of comment lines, and words of a branch whose body may stand without braces (fixed values).
+COMMENT_LINE = r"^(//|#|/\*|\*)"
+BARE_BRANCH = "if |for |while |catch |except"
+
+
 def brace_nesting(text: Column) -> Column:
     """Deepest nesting of braces by lines; closing more than is open stops at zero."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(//|#|/\*|\*)"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COMMENT_LINE))
 
     def step(acc, x):
         opened = F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit("")))
         closed = F.length(x) - F.length(F.replace(x, F.lit("}"), F.lit("")))
         depth = F.greatest(acc["depth"] + opened - closed, F.lit(0))
-        bare = x.rlike("if |for |while |catch |except") & ~x.contains("{") & ~x.endswith(":")
+        bare = x.rlike(BARE_BRANCH) & ~x.contains("{") & ~x.endswith(":")
         return F.struct(depth.alias("depth"), F.greatest(acc["most"], F.when(opened > closed, depth).otherwise(0), F.when(bare, 1).otherwise(0)).alias("most"))
 
     return F.aggregate(lines, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most")), step)["most"].cast("long")
@@ -142,3 +145,27 @@ def health(errors: Column, warnings: Column, infos: Column, cyclomatic: Column,
     zero = F.lit(0)
     score = 1.0 - 0.15 * errors - 0.05 * warnings - 0.01 * infos - 0.02 * F.greatest(cyclomatic - 10, zero) - 0.03 * F.greatest(nesting - 4, zero) - 0.1 * resource_risks
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+
+
+def json_raw_bytes(text: Column) -> Column:
+    """Bytes of the keys and values of a JSON text, without marks; true, false and null count four, and no text less than 64."""
+    trimmed = F.trim(text, F.lit(" \t\n\r\f\v"))
+    parts = F.regexp_extract_all(trimmed, F.lit(r'(?s):[ \t\n\r\f]*(?:"[^"]*"?|[tfn][^,}\]]*|[A-Za-z0-9.\-]*)|"[^"]*"?'), F.lit(0))
+
+    def size(part: Column) -> Column:
+        value = F.regexp_replace(part, r"^:[ \t\n\r\f]*", "")
+        plain = F.octet_length(F.replace(value, F.lit('"'), F.lit("")))
+        return F.when(part.startswith(":") & value.rlike("^[tfn]"), 4).otherwise(plain)
+
+    return F.greatest(F.aggregate(F.transform(parts, size), F.lit(0), lambda a, b: a + b), F.lit(64)).cast("double")
+
+
+def json_temp_bytes(text: Column) -> Column:
+    """64 bytes for each object and array inside another."""
+
+    def step(acc: Column, c: Column) -> Column:
+        opens = c.isin("{", "[")
+        return F.struct(F.greatest(acc["depth"] + F.when(opens, 1).otherwise(-1), F.lit(0)).alias("depth"), (acc["n"] + F.when(opens & (acc["depth"] > 0), 1).otherwise(0)).alias("n"))
+
+    marks = F.regexp_extract_all(text, F.lit(r"[{}\[\]]"), F.lit(0))
+    return (F.aggregate(marks, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n")), step)["n"] * 64).cast("double")

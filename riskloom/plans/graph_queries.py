@@ -101,8 +101,8 @@ def duplication(spark: SparkSession, d: str) -> DataFrame:
 
 
 def complexity_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Class of each file by its loops, were it not nested."""
-    return text_counts(spark, d).select("analysis_id", "path", T.complexity_class(F.col("loops"), F.lit(0)).alias("class"), T.class_risk(T.complexity_class(F.col("loops"), F.lit(0))).alias("risk"))
+    """Class of each file by its loops and their nesting."""
+    return S.profiles(_sources(spark, d)).select("analysis_id", "path", "class", T.class_risk(F.col("class")).alias("risk"))
 
 
 def endpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -115,9 +115,27 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
     return S.scores(S.profiles(_sources(spark, d)))
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c, t in df.dtypes if t == "double"})
+
+
 def survivability_scores(spark: SparkSession, d: str) -> DataFrame:
-    out = _scores(spark, d)
-    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
+    return _rounded(_scores(spark, d).drop("endpoints", "language"))
+
+
+def endpoint_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Survivability of every declared endpoint, at most 50 of an analysis."""
+    return _rounded(S.endpoint_scores(_scores(spark, d)).select("analysis_id", "path", "endpoint", "runtime", "survivability", "utilization", "safe_rps"))
+
+
+def rse_no_source(spark: SparkSession, d: str) -> DataFrame:
+    return S.no_source(_sources(spark, d))
+
+
+def request_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weight of JSON requests, here the review comments of documents with marks as they stand, on each runtime."""
+    docs = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").withColumn("runtime", F.explode(F.array(*map(F.lit, S.RUNTIMES))))
+    return docs.select("doc_id", "runtime", *[v.alias(k) for k, v in S.request_weight(F.col("text"), F.col("runtime")).items()])
 
 
 def rse_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -125,8 +143,7 @@ def rse_findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rse_summary(spark: SparkSession, d: str) -> DataFrame:
-    out = S.summary(_scores(spark, d))
-    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
+    return _rounded(S.summary(_scores(spark, d)))
 
 
 def rse_report(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +152,7 @@ def rse_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_nodes, graph_edges, fan_in_out, fan_summary, reachability, scc_components, scc_findings, layer_violations, dependency_risk, mm1_metrics, mmc_metrics, queue_risk, text_counts, duplication, complexity_classes, endpoints, survivability_scores, rse_findings, rse_summary, rse_report)
+    for f in (graph_nodes, graph_edges, fan_in_out, fan_summary, reachability, scc_components, scc_findings, layer_violations, dependency_risk, mm1_metrics, mmc_metrics, queue_risk, text_counts, duplication, complexity_classes, endpoints, survivability_scores, endpoint_scores, rse_no_source, request_weights, rse_findings, rse_summary, rse_report)
 }
 
 EDGES = """
@@ -163,6 +180,52 @@ def _counted(patterns: tuple[str, ...]) -> str:
 _OK = "lam >= 0 AND lam < mu"
 _TEXT = f"t AS (SELECT analysis_id, path, {_counted(T.LOOPS)} AS loops, {_counted(T.BRANCHES)} AS branches, {_counted(T.FUNCTIONS)} AS functions, strlen(content) AS bytes FROM source_files WHERE content IS NOT NULL)"
 
+def _case(values: dict, on: str = "runtime") -> str:
+    return f"CASE {on} " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in values.items()) + " END"
+
+
+def _value(place: int) -> str:
+    return _case({k: v[place] for k, v in S.RUNTIMES.items()})
+
+
+_KINDS = "CASE lower(language) WHEN 'java' THEN 'jvm' WHEN 'kotlin' THEN 'jvm' WHEN 'javascript' THEN 'node' WHEN 'typescript' THEN 'node' WHEN 'python' THEN 'python' WHEN 'go' THEN 'go' ELSE 'rust' END"
+_ENDINGS = "CASE lower(regexp_extract(path, '[.]([^./]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{k}'" for k, es in S.RUNTIME_OF_ENDING.items() for e in es) + " END"
+_BARE_TEXT = r"""regexp_replace(content, '(["''](?:\\.|[^"''\\])*["'']?)|//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/', ' ', 'gs')"""
+_RSE = f"""
+rt AS (SELECT analysis_id, coalesce(arg_min(r, path) FILTER (r IS NOT NULL), 'rust') AS runtime FROM (SELECT analysis_id, path, {_ENDINGS} AS r FROM source_files) GROUP BY ALL),
+f AS (SELECT analysis_id, path, content, {_KINDS} AS kind, strlen(content) AS bytes FROM source_files WHERE content IS NOT NULL),
+ln AS (SELECT analysis_id, path, generate_subscripts(string_split(content, chr(10)), 1) AS no, unnest(string_split(content, chr(10))) AS raw FROM f),
+br AS (SELECT *, trim(raw) AS x, length(raw) - length(replace(raw, '{{', '')) AS o, length(raw) - length(replace(raw, '}}', '')) AS c FROM ln WHERE trim(raw) <> '' AND NOT regexp_matches(trim(raw), '^(//|#|/[*]|[*])')),
+su AS (SELECT *, sum(o - c) OVER w AS s FROM br WINDOW w AS (PARTITION BY analysis_id, path ORDER BY no)),
+de AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY analysis_id, path ORDER BY no)) AS depth FROM su),
+bn AS (SELECT analysis_id, path, max(greatest(CASE WHEN o > c THEN depth ELSE 0 END, CASE WHEN regexp_matches(x, 'if |for |while |catch |except') AND NOT contains(x, '{{') AND NOT ends_with(x, ':') THEN 1 ELSE 0 END)) AS nest FROM de GROUP BY ALL),
+ind AS (SELECT analysis_id, path, greatest(max((length(raw) - length(ltrim(raw, ' '))) // 4) // 2, 1) AS nest FROM ln WHERE NOT regexp_matches(trim(raw), '^(#|$)') GROUP BY ALL),
+occ AS (SELECT *, (length(content) - length(replace(content, 'await ', ''))) // 6 AS n_await, (length(content) - length(replace(content, 'yield', ''))) // 5 AS n_yield, (length(content) - length(replace(content, 'make(', ''))) // 5 AS n_make,
+        (length(content) - length(replace(content, '.then(', ''))) // 6 AS n_then, (length(content) - length(replace(content, 'unwrap(', ''))) // 7 + (length(content) - length(replace(content, 'expect(', ''))) // 7 AS n_unwrap, (length(content) - length(replace(content, 'err != nil', ''))) // 10 AS n_err FROM f),
+pr AS (SELECT o.analysis_id, o.path, rt.runtime, {_counted(T.LOOPS)} AS loops, CAST(CASE WHEN kind = 'python' THEN coalesce(ind.nest, 1) ELSE coalesce(bn.nest, 0) END AS BIGINT) AS loop_depth,
+       {_counted(T.BRANCHES)} + CASE kind WHEN 'node' THEN n_then WHEN 'rust' THEN n_unwrap WHEN 'go' THEN n_err ELSE 0 END AS branches, {_counted(T.FUNCTIONS)} AS functions,
+       least(1000, {_counted(T.ALLOCATIONS).replace("content", "bare")}) + CASE kind WHEN 'node' THEN n_await WHEN 'python' THEN n_yield WHEN 'go' THEN n_make ELSE 0 END AS allocations, bytes
+       FROM (SELECT *, {_BARE_TEXT} AS bare FROM occ) o JOIN rt USING (analysis_id) LEFT JOIN bn ON bn.analysis_id = o.analysis_id AND bn.path = o.path LEFT JOIN ind ON ind.analysis_id = o.analysis_id AND ind.path = o.path),
+cl AS (SELECT *, CASE WHEN loops = 0 THEN 'O(1)' WHEN loops = 1 THEN CASE WHEN loop_depth >= 4 THEN 'O(n³)' WHEN loop_depth >= 3 THEN 'O(n²)' ELSE 'O(n)' END WHEN loops = 2 THEN CASE WHEN loop_depth >= 3 THEN 'O(n³)' ELSE 'O(n²)' END
+       WHEN loops <= 5 THEN 'O(n²)' WHEN loops <= 10 THEN 'O(n³)' WHEN loop_depth >= 5 THEN 'O(2ⁿ)' ELSE 'O(n³)' END AS class FROM pr),
+ri AS (SELECT *, {_case(T.CLASS_RISK, "class")} AS risk, bytes * 3.0 + 256 AS total_bytes, 256.0 AS temp_bytes, {_value(0)} AS expansion, {_value(1)} AS conc, {_value(3)} AS base, CAST({S.EXPECTED_RPS} AS DOUBLE) AS lam FROM cl),
+mu AS (SELECT *, base * (1 - 0.6 * risk) / (1 + 0.1 * loop_depth) / (1 + 0.02 * branches) AS service_rate FROM ri),
+qu AS (SELECT *, least(lam / service_rate, 1.0) AS utilization, lam < service_rate AS ok FROM mu),
+rk AS (SELECT *, CASE WHEN ok THEN lam / service_rate / (1 - lam / service_rate) ELSE lam / service_rate END AS active, CASE WHEN ok THEN least(-ln(1 - 0.95) / (service_rate - lam) * 1000, 30000.0) ELSE 30000.0 END AS response_ms,
+       CASE WHEN ok THEN 0.5 * service_rate * service_rate / (1 + 0.5 * service_rate) ELSE 0.0 END AS safe_rps, risk AS cpu_risk, risk AS latency_risk, least(total_bytes / 1048576 / {S.MEMORY_MB} * conc, 1.0) AS memory_risk,
+       least(CASE runtime WHEN 'jvm' THEN (least(temp_bytes / 1024, 100.0) / 100 + least(allocations, 100) / 100) / 2 WHEN 'node' THEN least(allocations, 50) / 50 * 0.6 WHEN 'python' THEN least(allocations, 100) / 100 * 0.5
+         WHEN 'rust' THEN least(allocations, 50) / 50 * 0.3 ELSE least(functions, 100) / 100 * 0.4 END, 1.0) AS gc_risk, least(lam / conc / 20, 1.0) AS thread_risk,
+       CASE WHEN utilization < 0.6 THEN utilization / 0.6 * 0.3 WHEN utilization < 0.8 THEN 0.3 + (utilization - 0.6) / 0.2 * 0.3 WHEN utilization < 1 THEN 0.6 + (utilization - 0.8) / 0.2 * 0.3 ELSE 1.0 END AS queueing_risk,
+       10 * (1 + risk * 5) * (1 + total_bytes / 1024 / 100) * (1 + loop_depth * 0.2) AS latency_ms, conc / (10 * (1 + risk * 5) * (1 + (1024 * expansion + 256) / 1024 / 100) * (1 + loop_depth * 0.2) / 1000) AS throughput FROM qu),
+sc AS (SELECT *, least(greatest(1 - greatest(cpu_risk, memory_risk, gc_risk, thread_risk, latency_risk, queueing_risk), 0.0), 1.0) AS survivability, safe_rps * least(0.6 / utilization, 10.0) AS max_safe_rps FROM rk)
+"""
+_RSE_COLUMNS = ["service_rate", "total_bytes", "temp_bytes", "utilization", "active", "response_ms", "safe_rps", "cpu_risk", "latency_risk", "memory_risk", "gc_risk", "thread_risk", "queueing_risk", "latency_ms", "throughput", "survivability", "max_safe_rps"]
+_BAND = "CASE WHEN survivability < 0.3 THEN 'critical' WHEN survivability < 0.6 THEN 'error' WHEN survivability < 0.8 THEN 'warning' ELSE 'info' END"
+_RULES = [("RSE-SURV", "true", _BAND), *[(f"RSE-{n.upper()}", f"{n}_risk > 0.6", "'error'" if n == "thread" else "'warning'") for n in ("cpu", "gc", "thread", "latency")], ("RSE-MEM", "memory_risk > 0.6", "'warning'"),
+          ("RSE-QUEUE", "utilization >= 0.8", "CASE WHEN utilization >= 1 THEN 'critical' ELSE 'error' END")]
+_LINES = [("Survivability", "printf('%.2f', survivability)"), *[(f"{n} Risk", f"printf('%.2f', {n.lower()}_risk)") for n in ("CPU", "Memory", "GC", "Thread", "Latency")], ("Complexity", "class"), ("Utilization", "printf('%.1f%%', utilization * 100)"),
+          ("Safe RPS", "printf('%.0f', safe_rps)"), ("Response Time", "printf('%.1fms', response_ms)"), ("Payload Expansion", "'3.0x'"), ("Predicted Memory", "printf('%.1fKB/req', total_bytes / 1024)")]
+
 SQL = {
     "graph_nodes": f"WITH {EDGES} SELECT * FROM nodes",
     "graph_edges": f"WITH {EDGES} SELECT * FROM edges",
@@ -184,8 +247,14 @@ SQL = {
     "queue_risk": f"""WITH {_ARRIVALS}, u AS (SELECT *, least(lam / mu, 1.0) AS u FROM arrivals) SELECT event_type, mu, round(0.5 * mu * mu / (1 + 0.5 * mu), 6) AS safe_rps, round(u, 6) AS utilization,
         round(CASE WHEN u < 0.6 THEN u / 0.6 * 0.3 WHEN u < 0.8 THEN 0.3 + (u - 0.6) / 0.2 * 0.3 WHEN u < 1 THEN 0.6 + (u - 0.8) / 0.2 * 0.3 ELSE 1 END, 6) AS risk FROM u""",
     "text_counts": f"WITH {_TEXT} SELECT * FROM t",
-    "complexity_classes": f"""WITH {_TEXT}, c AS (SELECT *, CASE WHEN loops = 0 THEN 'O(1)' WHEN loops = 1 THEN 'O(n)' WHEN loops <= 5 THEN 'O(n²)' ELSE 'O(n³)' END AS class FROM t)
-        SELECT analysis_id, path, class, CAST(CASE class WHEN 'O(1)' THEN 0 WHEN 'O(n)' THEN 0.3 WHEN 'O(n²)' THEN 0.7 ELSE 0.85 END AS DOUBLE) AS risk FROM c""",
+    "complexity_classes": f"WITH {_RSE} SELECT analysis_id, path, class, risk FROM ri",
+    "survivability_scores": f"WITH {_RSE} SELECT analysis_id, path, runtime, loops, loop_depth, branches, functions, allocations, bytes, class, {', '.join(f'round({c}, 6) AS {c}' for c in _RSE_COLUMNS)} FROM sc",
+    "rse_findings": f"WITH {_RSE} " + " UNION ALL ".join(f"SELECT analysis_id, path AS file_path, '{n}' AS rule, {sev} AS severity, round(survivability, 6) AS survivability FROM sc WHERE {when}" for n, when, sev in _RULES),
+    "rse_summary": f"""WITH {_RSE} SELECT analysis_id, arg_min(path, (survivability, path)) AS worst_file, round(min(survivability), 6) AS worst, round(avg(survivability), 6) AS average, round(min(max_safe_rps), 6) AS min_safe_rps,
+        round(max(total_bytes), 6) AS max_bytes, max(loop_depth) AS max_loop_depth, min(survivability) < 0.3 AS blocked, round(1 - min(survivability), 6) AS risk FROM sc GROUP BY ALL""",
+    "rse_report": f"WITH {_RSE} " + " UNION ALL ".join(f"SELECT analysis_id, path, {i} AS pos, '{n}' AS label, {v} AS value FROM sc" for i, (n, v) in enumerate(_LINES)),
+    "rse_no_source": f"""SELECT analysis_id, 'N/A' AS file_path, 'RSE-NO-SRC' AS rule, 'info' AS severity FROM source_files GROUP BY analysis_id HAVING count(*) FILTER (lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN {S.SUPPORTED}) = 0
+        UNION ALL SELECT analysis_id, path, 'RSE-ERR', 'warning' FROM source_files WHERE content IS NULL AND lower(regexp_extract(path, '[.]([^./]+)$', 1)) IN {S.SUPPORTED}""",
     "duplication": r"""WITH l AS (SELECT analysis_id, path, trim(translate(unnest(string_split(content, chr(10))), chr(13) || chr(9), '  ')) AS x FROM source_files WHERE content IS NOT NULL),
         c AS (SELECT analysis_id, path, x, count(*) AS k FROM l WHERE x <> '' GROUP BY ALL),
         r AS (SELECT analysis_id, path, sum(k) AS n, coalesce(sum(k - 1) FILTER (length(x) >= 5), 0) AS d FROM c GROUP BY ALL)
