@@ -48,8 +48,7 @@ def code_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def function_spans(spark: SparkSession, d: str) -> DataFrame:
-    files = _sources(spark, d)
-    return R.spans(R.functions(files), R.lines(files))
+    return R.spans(_sources(spark, d))
 
 
 def repair_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -60,5 +59,9 @@ def repair_by_rule(spark: SparkSession, d: str) -> DataFrame:
     return R.findings(_sources(spark, d), 0).groupBy("engine", "rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (import_edges, module_nodes, ir_metrics, ir_findings, ir_health, ir_live_definitions, resource_leaks, code_functions, function_spans, repair_findings, repair_by_rule)}
+def repair_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    return R.recommendations(R.findings(_sources(spark, d), 0))
+
+
+QUERIES = {f.__name__: f for f in (import_edges, module_nodes, ir_metrics, ir_findings, ir_health, ir_live_definitions, resource_leaks, code_functions, function_spans, repair_findings, repair_by_rule, repair_recommendations)}
 SQL: dict[str, str] = {}

@@ -1,3 +1,5 @@
+import time
+
 from riskloom.operators import code_ir as C
 from riskloom.operators import imports as I
 from riskloom.operators import repair as R
@@ -34,9 +36,39 @@ def test_trees(spark):
 
 
 def test_repair(spark):
-    big = "def big(a):\n" + "    if a: pass\n" * 32 + "\ndef read_error(x):\n    open(x)\n    fetch(x)\n    query(x)\n    time.sleep(1)\n"
+    big = "def big(a):\n" + "    if a: pass\n" * 32 + "\ndef read_all(x) -> Result<x>:\n    db.read(x)\n    fetch(x)\n    db.query(x)\n    time.sleep(1)\n"
     f = files(spark, [("x.py", big), ("y.rs", "fn a(x: i32) {\n  1;\n  2;\n  3;\n  4;\n}\n"), ("n.py", None)])
-    assert {(r.name, r.body_lines) for r in R.functions(f).collect()} == {("big", 32), ("read_error", 4), ("a", 5)}
+    assert {(r.name, r.body_lines) for r in R.functions(f).collect()} == {("big", 32), ("read_all", 4), ("a", 5)}
     got = {(r.path, r.rule, r.severity) for r in R.findings(f, 0).collect()}
     assert {("x.py", "REF-EXTRACT-METHOD", "error"), ("x.py", "DEBT-COMPLEXITY", "error"), ("x.py", "REF-DUPLICATION", "warning"), ("x.py", "PERF-IO-HEAVY", "warning"), ("x.py", "PERF-SYNC-IO", "warning"), ("x.py", "TEST-ERROR-PATH", "info"), ("y.rs", "TEST-NO-BRANCH", "info")} <= got
     assert R.findings(f, 1).groupBy("path", "engine").count().where("count > 1").count() == 0
+    assert R.findings(files(spark, []), 0).count() == 0 and {r.place for r in R.recommendations(R.findings(f, 0)).collect() if r.n == 1} >= {1}
+
+
+def rules(text, path="a.rs"):
+    return {(x["item"], x.get("name"), x["line"]): x for x in R.scan_file(text, path)}
+
+
+def test_repair_scan():
+    flat = "fn f() {\n  for a in b {\n  }\n  for a in b {\n  }\n  for a in b {\n  }\n}\n"
+    assert not any(k[0] == "loop" for k in rules(flat))
+    nested = "fn f() {\n  for a in b {\n    while c {\n      loop {\n      }\n    }\n  }\n}\n"
+    assert {(k[2], v["nesting"]) for k, v in rules(nested).items() if k[0] == "loop"} == {(3, 2), (4, 3)} and rules(nested)["function", "f", 1]["nesting"] == 3
+    assert not any(k[0] == "loop" for k in rules("for a in b:\n    x\nfor a in b:\n    y\n", "a.py"))
+    assert {k[2] for k in rules("for a in b:\n    for c in d:\n        y\n", "a.py") if k[0] == "loop"} == {2}
+    r = rules("fn foo() { bar(); }\nfn bar() { foo(); }\n")
+    assert {k[1] for k in r if k[0] == "chain"} == {"foo", "bar"}
+    r = rules("fn foo() {\n  bar(1);\n  bar(2);\n  x();\n}\nfn bar(a: i32) {\n}\n")
+    assert {(k[1], v["other"], k[2]) for k, v in r.items() if k[0] == "coupling"} == {("foo", "bar", 2)}
+    many = "".join(f"fn f{i}() {{}}\n" for i in range(7))
+    assert all(v["fan_in"] == v["fan_out"] == 0 for k, v in rules(many).items())
+    assert rules(many + "f3.x\n")["function", "f3", 4]["fan_in"] == 6 and rules(many + "f3.x\n")["function", "f1", 2]["fan_out"] == 1
+    assert ("allocation", None, 1) in rules("let a = vec![new Array, Box::new, Rc::new, Arc::new, Vec::new, String::new, HashMap::new, clone()]; malloc format!( to_owned()\n")
+    assert rules("fn q() {\n a.unwrap();\n db.read();\n}")["blocking", None, 2] and not any(k[0] == "blocking" for k in rules("fn q() {\n a.unwrap();\n}"))
+    assert ("error", "load", 1) in rules("fn load() -> Result<A> {\n}") and not any(k[0] == "error" for k in rules("fn load() -> Result<A> {\n}\nfn test_load() {}"))
+    assert rules("") == {} and rules("fn" * 9) == {} and rules("}}}}\nfn a() {\n")["function", "a", 2]["body_lines"] == 1
+    deep = "fn g() {\n" + "if x {\n" * 7 + "}\n" * 8
+    assert rules(deep)["function", "g", 1]["nesting"] == 7 and rules(deep)["function", "g", 1]["cyclomatic"] == 8
+    began = time.time()
+    R.scan_file("fn a() {\n" * 20_000, "a.rs")
+    assert time.time() - began < 20
