@@ -29,6 +29,16 @@ _LET = re.compile(r"^(?:let|var|const)\s+(?:mut\s+)?([A-Za-z_$][\w$]*)\s*(?::[^=
 _CALL = re.compile(r"([A-Za-z_$][\w$]*(?:(?:\.|::)[A-Za-z_$][\w$]*)*)\s*\(")
 _STRING = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`")
 _EMPTY = re.compile(r"\s*(?:\{\s*\}|;)")
+#: Names that are no captured variables (fixed values).
+NOT_CAPTURED = frozenset("self this _ args kwargs console process module exports".split())
+#: Words of languages with braces that are no variables.
+_WORDS = frozenset(
+    "as async await break case catch class const continue default delete do dyn else enum export extends extern false finally fn for from function if impl import in instanceof let loop match mod move "
+    "mut new null of pub ref return self Self static struct super switch this throw trait true try type typeof undefined unsafe use var void where while yield".split()
+)
+_NAME = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)(?!\s*(?:\(|::|!))(?![\w$])")
+_CLOSURE = re.compile(r"\|([^|]*)\||(?:\(([^()]*)\)|([A-Za-z_$][\w$]*))\s*=>")
+_RETURNED = re.compile(r"\(?\s*([A-Za-z_$][\w$]*(?:\s*,\s*[A-Za-z_$][\w$]*)*)\s*\)?")
 _NOT_CALLS = frozenset("if for while match switch return fn function loop catch".split())
 
 
@@ -41,6 +51,21 @@ class _Rows:
         return len(self.rows) - 1
 
 
+def _captured(n: ast.Lambda | ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
+    """Variables that a closure or an inner function reads and neither takes nor sets, in order of name; what is only called is none."""
+    known = {a.arg for a in ast.walk(n.args) if isinstance(a, ast.arg)}
+    called, read = set(), set()
+    for x in ast.walk(n):
+        if isinstance(x, ast.Call) and isinstance(x.func, ast.Name):
+            called.add(id(x.func))
+        elif isinstance(x, ast.Name) and not isinstance(x.ctx, ast.Load):
+            known.add(x.id)
+        elif isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)) and x is not n:
+            known |= {a.arg for a in ast.walk(x.args) if isinstance(a, ast.arg)}
+    read = {x.id for x in ast.walk(n) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load) and id(x) not in called}
+    return sorted(read - known - NOT_CAPTURED)
+
+
 def python_nodes(source: str) -> list[list]:
     """Nodes of Python source by the standard parser; source that does not parse gives one node of kind error."""
     out = _Rows()
@@ -55,9 +80,13 @@ def python_nodes(source: str) -> list[list]:
         line, me, inner = getattr(n, "lineno", 0), parent, (depth, nest, loops, func)
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
             me = out.add(parent, "function", n.name, line, depth, nest, loops, func)
+            for name in _captured(n) if func else ():
+                out.add(me, "capture", name, line, depth, nest, loops, func)
             inner = (depth + 1, 0, 0, n.name)
         elif isinstance(n, ast.Lambda):
             me = out.add(parent, "closure", "", line, depth, nest, loops, func)
+            for name in _captured(n):
+                out.add(me, "capture", name, line, depth, nest, loops, func)
         elif isinstance(n, (ast.If, ast.IfExp)):
             body = n.body if isinstance(n, ast.If) else []
             leaves = any(isinstance(x, (ast.Return, ast.Raise, ast.Continue, ast.Break)) for x in body)
@@ -84,7 +113,11 @@ def python_nodes(source: str) -> list[list]:
         elif isinstance(n, (ast.With, ast.AsyncWith)):
             me = out.add(parent, "scope", "", line, depth, nest, loops, func)
         elif isinstance(n, (ast.Return, ast.Raise)):
-            out.add(parent, "return" if isinstance(n, ast.Return) else "throw", "", line, depth, nest, loops, func, text=ast.unparse(n) if n.__dict__.get("value") is not None else "")
+            value = n.value if isinstance(n, ast.Return) else None
+            out.add(parent, "return" if isinstance(n, ast.Return) else "throw", "", line, depth, nest, loops, func, text="" if value is None else ast.unparse(value))
+            for x in value.elts if isinstance(value, (ast.Tuple, ast.List)) else [value]:
+                if isinstance(x, ast.Name):
+                    out.add(parent, "returned", x.id, line, depth, nest, loops, func)
         elif isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load):
             out.add(parent, "use", n.id, line, depth, nest, loops, func)
         todo += [(c, me, *inner) for c in reversed(list(ast.iter_child_nodes(n)))]
@@ -114,6 +147,8 @@ def _condition(text: str, at: int) -> tuple[str, bool]:
 def brace_nodes(source: str) -> list[list]:
     """Nodes of languages with braces, line by line over text without comments and strings."""
     out, stack = _Rows(), []  # stack of (node, kind, brace level at which it closes)
+    scopes: dict[int, tuple[set, set]] = {}  # closures and inner functions: what they take or set, what they read
+    branch: dict[int, list] = {}  # the last conditional at each depth
     level, func = 0, ""
     whole, start = _strip(source, False), 0  # start: of the next line
     for no, raw in enumerate(whole.split("\n"), 1):
@@ -131,11 +166,13 @@ def brace_nodes(source: str) -> list[list]:
         node, kind = -1, ""
         if m := _FN.match(bare):
             node, kind = out.add(parent, "function", m[1], *at), "function"
+            if any(k in ("function", "closure") for _, k, _ in stack):
+                scopes[node] = ({*_NAME.findall(bare)}, set())
         elif m := _BRANCH.match(bare):
             behind = here + (_BRANCH.match(line) or m).start(2)
             word = " ".join(m[1].split())
             if word in ("else", "else if") and out.rows:
-                last = next((r for r in reversed(out.rows) if r[2] == "conditional" and r[5] == len(stack)), None)
+                last = branch.get(len(stack))
                 if last:
                     last[9] = True
                     if word == "else" and _EMPTY.match(whole, behind):
@@ -145,6 +182,7 @@ def brace_nodes(source: str) -> list[list]:
                 test, empty = _condition(whole, behind)
                 many = word in ("match", "switch")
                 node = out.add(parent, kind, "match" if many else "empty" if empty else "", *at, many, bool(re.search(r"\b(return|throw|break|continue|panic!)", bare)), test)
+                branch[len(stack)] = out.rows[node]
             else:
                 kind = "else"
                 node = parent
@@ -156,10 +194,29 @@ def brace_nodes(source: str) -> list[list]:
             call = _CALL.search(m[2])
             if call and re.split(r"\.|::", call[1])[-1] in OPENERS:
                 out.add(parent, "allocate", m[1], *at)
-        if re.search(r"\|[^|]*\||=>", bare) and kind != "conditional":
-            out.add(parent, "closure", "", *at)
+        names = [x for x in _NAME.findall(bare) if x not in _WORDS and kind != "function"]
+        defined = m[1] if kind == "" and (m := _LET.match(bare)) else None
+        if (c := _CLOSURE.search(bare)) and kind != "conditional":
+            closure = out.add(parent, "closure", "", *at)
+            takes = {x for g in c.groups() if g for x in _NAME.findall(g)}
+            scopes[closure] = (takes, set())
+            if opened > closed and node < 0:
+                node, kind = closure, "closure"
+            else:
+                scopes[closure][1].update(x for x in _NAME.findall(bare[c.end() :]) if x not in _WORDS)
+        for name in dict.fromkeys(names):
+            if name != defined or names.count(name) > 1:
+                out.add(parent, "use", name, *at)
+        for i, k, _ in stack:
+            if i in scopes and k in ("closure", "function"):
+                scopes[i][0].update([defined] if defined else ())
+                scopes[i][1].update(names)
         if re.match(r"return\b", bare):
-            out.add(parent, "return", "", *at, text=bare[6:].strip(" ;"))
+            value = bare[6:].strip(" ;")
+            out.add(parent, "return", "", *at, text=value)
+            if m := _RETURNED.fullmatch(value):
+                for name in re.split(r"\s*,\s*", m[1]):
+                    out.add(parent, "returned", name, *at)
             for i, k, _ in reversed(stack):
                 if k == "conditional":
                     out.rows[i][10] = True
@@ -177,6 +234,10 @@ def brace_nodes(source: str) -> list[list]:
         if node >= 0 and opened > closed or kind == "else" and opened:
             stack.append((node, kind, level))
         level = max(level, 0)
+    for node, (known, read) in scopes.items():
+        _, _, _, _, line, depth, nest, loops, func, *_ = out.rows[node]
+        for name in sorted(read - known - NOT_CAPTURED):
+            out.add(node, "capture", name, line, depth, nest, loops, func)
     return out.rows
 
 
@@ -230,8 +291,8 @@ def live_definitions(tree: DataFrame) -> DataFrame:
 
 
 def escapes(tree: DataFrame) -> DataFrame:
-    """Resources whose variable is returned."""
-    returned = tree.where("kind = 'return'").select(*KEY, "func", F.col("text").alias("name"))
+    """Resources whose variable is returned, alone or among others."""
+    returned = tree.where("kind = 'returned'").select(*KEY, "func", "name")
     return tree.where(F.col("kind").isin("define", "allocate") & F.lower("name").rlike(RESOURCE_NAMES)).join(returned, [*KEY, "func", "name"], "left_semi").select(*KEY, "name", "line")
 
 
@@ -259,7 +320,7 @@ def _found(tree: DataFrame) -> DataFrame:
     add(recursive(tree), "MGTG-P001", "info", one)
     add(leaks(tree), "MGTG-M000", "error", F.col("line"))
     add(escapes(tree), "MGTG-M100", "warning", F.col("line"))
-    add(tree.where("kind = 'closure'"), "MGTG-M200", "info", F.col("line"))
+    add(tree.where("kind = 'capture'"), "MGTG-M200", "info", F.col("line"))
     total = out[0]
     for df in out[1:]:
         total = total.unionByName(df)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -181,13 +182,14 @@ def scan_file(text: str, path: str) -> list[dict]:
     # lines of one function that name another
     refactored = [f for f in functions if "refactoring" in f["engines"]]
     mentions = _matcher({f["name"] for f in refactored})
-    open_: list[dict] = []
+    open_: deque[dict] = deque()  # the first that is not over is the one a line counts for
     k, before = 0, None
     for i, line in enumerate(trimmed):
         while k < len(refactored) and refactored[k]["line"] <= i + 1:
             open_.append(refactored[k])
             k += 1
-        open_ = [f for f in open_ if i + 1 < f["line"] + f["body_lines"]] if open_ else open_
+        while open_ and i + 1 >= open_[0]["line"] + open_[0]["body_lines"]:
+            open_.popleft()
         if not open_ or not code[i] or line.startswith(PLAIN_FUNCTIONS):
             continue
         caller = open_[0]["name"]

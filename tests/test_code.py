@@ -35,6 +35,31 @@ def test_trees(spark):
     assert C.leaks(closed).count() == 0 and C.leaks(tree).count() == 1 and C.nodes(files(spark, [])).count() == 0
 
 
+def of(rows, kind):
+    return [(r[3], r[4]) for r in rows if r[2] == kind]
+
+
+def test_uses_returns_and_captures():
+    js = C.brace_nodes("function f(a) {\n  let k = 1;\n  let conn = open(a);\n  let g = (x) => x + k;\n  items.map(y => {\n    let t = y.size;\n    send(t, k, a);\n  });\n  return conn;\n}\n")
+    assert ("a", 3) in of(js, "use") and ("k", 4) in of(js, "use") and ("conn", 9) in of(js, "use") and ("k", 2) not in of(js, "use")
+    assert of(js, "returned") == [("conn", 9)] and of(js, "capture") == [("k", 4), ("a", 5), ("k", 5)]
+    rs = C.brace_nodes("fn f(a: i32) -> i32 {\n    let conn_handle = connect(a);\n    let g = |x| x + a;\n    return (conn_handle, g);\n}\n")
+    assert of(rs, "returned") == [("conn_handle", 4), ("g", 4)] and of(rs, "capture") == [("a", 3)] and of(rs, "define") == [("conn_handle", 2), ("g", 3)]
+    py = C.python_nodes("def f(a):\n    k = 1\n    g = lambda x: x + k + len(a)\n    def h(b):\n        c = b\n        return c + k\n    return g, h\n")
+    assert of(py, "capture") == [("a", 3), ("k", 3), ("k", 4)] and ("g", 7) in of(py, "returned") and ("h", 7) in of(py, "returned")
+    assert C.brace_nodes("") == [] and C.python_nodes("") == []
+    began = time.time()
+    C.brace_nodes("if (a) {\n} else {\n}\n" * 20_000)
+    assert time.time() - began < 20
+
+
+def test_resources_that_leave(spark):
+    tree = C.nodes(files(spark, [("a.py", "def f():\n    conn = connect()\n    return conn\n"), ("b.js", "function f() {\n  let conn = connect();\n  return conn;\n}\n"), ("c.js", "function f() {\n  let conn = connect();\n  conn.close();\n}\n")]))
+    found = {(r.path, r.rule, r.line) for r in C.findings(tree).collect()}
+    assert ("a.py", "MGTG-M100", 2) in found and ("b.js", "MGTG-M100", 2) in found and not any(p == "c.js" and r.startswith("MGTG-M") for p, r, _ in found)
+    assert {(r.path, r.name) for r in C.live_definitions(tree).collect()} == {("a.py", "conn"), ("b.js", "conn"), ("c.js", "conn")}
+
+
 def test_repair(spark):
     big = "def big(a):\n" + "    if a: pass\n" * 32 + "\ndef read_all(x) -> Result<x>:\n    db.read(x)\n    fetch(x)\n    db.query(x)\n    time.sleep(1)\n"
     f = files(spark, [("x.py", big), ("y.rs", "fn a(x: i32) {\n  1;\n  2;\n  3;\n  4;\n}\n"), ("n.py", None)])
