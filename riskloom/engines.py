@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import severity_rank
 from .operators import code_ir, repair, survivability
+from .operators import graph as G
+from .operators import process as P
 from .operators.fusion import EngineResult, Orchestrator, union_findings
 from .plans import graph_queries, model_queries, process_queries
 from .runtime import cut, table
@@ -41,46 +44,64 @@ def _worst(found: DataFrame, high: float, low: float) -> float:
 
 
 def process(spark: SparkSession, folder: str) -> EngineResult:
-    risk = process_queries.process_risk(spark, folder).agg(F.max("risk")).first()[0]
-    return _result("process", process_queries.process_findings(spark, folder), risk)
+    found, features = process_queries._findings(spark, folder)
+    found = cut(found)
+    return _result("process", found, P.process_risk(found, features).agg(F.max("risk")).first()[0])
 
 
 def dependency(spark: SparkSession, folder: str) -> EngineResult:
-    cycles = graph_queries.scc_findings(spark, folder).withColumn("message", F.format_string("cycle of %d modules at %s", "n", "component"))
-    risk = cycles.agg(F.least(F.lit(1.0), 0.2 * F.count(F.lit(1)))).first()[0]
-    return _result("dependency", cycles, risk)
+    """Cycles, and edges that the layer rules do not allow; each is an error."""
+    found = cut(graph_queries.dependency_findings(spark, folder).withColumnRenamed("subject", "message"))
+    return _result("dependency", found, G.dependency_risk(found).agg(F.max("risk")).first()[0])
 
 
 def mgtg(spark: SparkSession, folder: str) -> EngineResult:
     tree = cut(code_ir.nodes(table(spark, folder, "source_files", "analysis_id", "path", "content")))
-    mean = code_ir.file_health(tree).agg(F.coalesce(F.avg("health"), F.lit(1.0))).first()[0]
-    return _result("mgtg", code_ir.findings(tree), 1.0 - mean)
+    found = cut(code_ir.findings(tree))
+    mean = code_ir.file_health(tree, found).agg(F.coalesce(F.avg("health"), F.lit(1.0))).first()[0]
+    return _result("mgtg", found, 1.0 - mean)
 
 
 def rse(spark: SparkSession, folder: str) -> EngineResult:
-    scored = survivability.scores(survivability.profiles(table(spark, folder, "source_files", "analysis_id", "path", "language", "content")))
+    """Findings of the endpoints' files; where no file declares an endpoint, of every file. Blocked below 0.3."""
+    files = table(spark, folder, "source_files", "analysis_id", "path", "language", "content")
+    scored = cut(survivability.scores(survivability.profiles(files)))
+    routed = cut(survivability.endpoint_scores(scored))
+    scored = routed if routed.limit(1).count() else scored
     worst = scored.agg(F.min("survivability")).first()[0]
-    return _result("rse", survivability.findings(scored), 0.0 if worst is None else 1.0 - worst, worst is not None and worst < 0.3)
+    found = survivability.findings(scored).select("file_path", "rule", "severity").unionByName(survivability.no_source(files).drop("analysis_id"))
+    return _result("rse", found, 0.0 if worst is None else 1.0 - worst, worst is not None and worst < 0.3)
 
 
 def ml(spark: SparkSession, folder: str) -> EngineResult:
-    risky = model_queries.ml_score(spark, folder).where("p >= 0.5")
-    found = risky.select("file_path", F.lit("ML-RISK").alias("rule"), F.lit("warning").alias("severity"), F.format_string("predicted risk %.2f", "p").alias("message"))
-    return _result("ml", found, model_queries.ml_score(spark, folder).agg(F.avg("p")).first()[0])
+    scored = cut(model_queries.ml_score(spark, folder))
+    found = scored.where("p >= 0.5").select("file_path", F.lit("ML-RISK").alias("rule"), F.lit("warning").alias("severity"), F.format_string("predicted risk %.2f", "p").alias("message"))
+    return _result("ml", found, scored.agg(F.avg("p")).first()[0])
 
 
-def _repair(engine: str, high: float, low: float):
-    def run(spark: SparkSession, folder: str) -> EngineResult:
-        found = repair.findings(table(spark, folder, "source_files", "analysis_id", "path", "content")).where(F.col("engine") == engine)
-        return _result(engine, found, _worst(found, high, low))
+class _Repairs:
+    """The repair engines over one scan of the files of a folder."""
 
-    return run
+    def __init__(self):
+        self.found: dict[str, DataFrame] = {}
+        self.lock = Lock()
+
+    def engine(self, name: str, high: float, low: float):
+        def run(spark: SparkSession, folder: str) -> EngineResult:
+            with self.lock:
+                if folder not in self.found:
+                    self.found[folder] = cut(repair.findings(table(spark, folder, "source_files", "analysis_id", "path", "content")))
+            found = self.found[folder].where(F.col("engine") == name)
+            return _result(name, found, _worst(found, high, low))
+
+        return run
 
 
 def orchestrator() -> Orchestrator:
     """All engines that need nothing but the tables."""
+    shared = _Repairs()
     repairs = {"refactoring": (0.6, 0.3), "coupling": (0.6, 0.3), "performance": (0.7, 0.4), "testing_gap": (0.5, 0.3), "debt_roi": (0.6, 0.3)}
-    return Orchestrator({"process": process, "dependency": dependency, "mgtg": mgtg, "rse": rse, "ml": ml} | {n: _repair(n, *r) for n, r in repairs.items()})
+    return Orchestrator({"process": process, "dependency": dependency, "mgtg": mgtg, "rse": rse, "ml": ml} | {n: shared.engine(n, *r) for n, r in repairs.items()})
 
 
 def all_findings(spark: SparkSession, results: list[EngineResult]) -> DataFrame:

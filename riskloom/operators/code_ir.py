@@ -293,7 +293,7 @@ def live_definitions(tree: DataFrame) -> DataFrame:
 def escapes(tree: DataFrame) -> DataFrame:
     """Resources whose variable is returned, alone or among others."""
     returned = tree.where("kind = 'returned'").select(*KEY, "func", "name")
-    return tree.where(F.col("kind").isin("define", "allocate") & F.lower("name").rlike(RESOURCE_NAMES)).join(returned, [*KEY, "func", "name"], "left_semi").select(*KEY, "name", "line")
+    return tree.where(F.col("kind").isin("define", "allocate") & F.lower("name").rlike(RESOURCE_NAMES)).join(returned, [*KEY, "func", "name"], "left_semi").select(*KEY, "name", "line").distinct()
 
 
 def findings(tree: DataFrame) -> DataFrame:
@@ -327,10 +327,10 @@ def _found(tree: DataFrame) -> DataFrame:
     return total
 
 
-def file_health(tree: DataFrame) -> DataFrame:
-    """Health of each file by its findings and metrics."""
-    tree = cut(tree)
-    n = _found(tree).groupBy(*KEY).agg(
+def file_health(tree: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Health of each file by its findings (those of the tree if not given) and metrics."""
+    tree = cut(tree) if found is None else tree
+    n = (_found(tree) if found is None else found).groupBy(*KEY).agg(
         F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_if(F.col("severity") == "info").alias("infos"), F.count_if(F.col("rule") == "MGTG-M000").alias("risks")
     )
     out = metrics(tree).join(n, KEY, "left").na.fill(0)

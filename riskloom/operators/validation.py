@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 ANSWER = "is_valid boolean, confidence double, explanation string, suggested_fix string"
 RESULT = "finding_id string, response string, failed boolean"
 
@@ -67,3 +69,20 @@ def risk(validated: DataFrame, by: list[str] = ()) -> DataFrame:
     errors, warnings = F.count_if(good & F.col("severity").isin("error", "critical")), F.count_if(good & (F.col("severity") == "warning"))
     least = F.coalesce(F.min(F.when(good, F.col("confidence"))), F.lit(1.0))
     return validated.groupBy(*by).agg(F.least(F.lit(1.0), (0.3 * errors + 0.1 * warnings) * least).alias("risk"), (errors > 0).alias("blocked"))
+
+
+def validate(findings: DataFrame, client: Callable[[str], str] | None, cache: DataFrame | None = None) -> DataFrame:
+    """The whole check: findings of the model engine are left out, those the cache (key and answer) knows are not asked again, the rest are; answers are joined back.
+
+    Result: the findings with is_valid, confidence, explanation, suggested_fix, key. Without client (disabled) nothing is asked and every finding not in
+    the cache stands with confidence 0.5. risk() scores the result.
+    """
+    rows = cut(findings.where(F.lower("engine") != "ml").withColumn("key", cache_key()))
+    parts = ["is_valid", "confidence", "explanation", "suggested_fix"]
+    known = None if cache is None else rows.join(cache.dropDuplicates(["key"]).select("key", *parts), "key")
+    fresh = rows if cache is None else rows.join(cache.select("key").distinct(), "key", "left_anti")
+    if client is None:
+        told = fresh.select("*", F.lit(True).alias("is_valid"), F.lit(0.5).alias("confidence"), F.lit(None).cast("string").alias("explanation"), F.lit(None).cast("string").alias("suggested_fix"))
+    else:
+        told = fresh.join(cut(parse(ask(fresh, client))), "finding_id")  # written once: a call is not made again
+    return told if known is None else told.unionByName(known.select(*told.columns))

@@ -56,9 +56,15 @@ def layer_violations(spark: SparkSession, d: str) -> DataFrame:
     return G.layer_violations(_known(spark, d), LAYERS)
 
 
+def dependency_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles of modules and edges against the layer rules, as findings."""
+    cycles = scc_findings(spark, d).select("analysis_id", "rule", "severity", F.format_string("cycle of %d modules at %s", "n", "component").alias("subject"))
+    broken = layer_violations(spark, d).select("analysis_id", F.lit("DEP-ARCH").alias("rule"), F.lit("error").alias("severity"), F.format_string("%s uses %s: %s may not use %s", "source_id", "target_id", "from_layer", "to_layer").alias("subject"))
+    return cycles.unionByName(broken)
+
+
 def dependency_risk(spark: SparkSession, d: str) -> DataFrame:
-    found = scc_findings(spark, d).select("analysis_id", "severity").unionByName(layer_violations(spark, d).select("analysis_id", F.lit("error").alias("severity")))
-    return G.dependency_risk(found).withColumn("risk", F.round("risk", 6))
+    return G.dependency_risk(dependency_findings(spark, d)).withColumn("risk", F.round("risk", 6))
 
 
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +158,7 @@ def rse_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_nodes, graph_edges, fan_in_out, fan_summary, reachability, scc_components, scc_findings, layer_violations, dependency_risk, mm1_metrics, mmc_metrics, queue_risk, text_counts, duplication, complexity_classes, endpoints, survivability_scores, endpoint_scores, rse_no_source, request_weights, rse_findings, rse_summary, rse_report)
+    for f in (graph_nodes, graph_edges, fan_in_out, fan_summary, reachability, scc_components, scc_findings, layer_violations, dependency_findings, dependency_risk, mm1_metrics, mmc_metrics, queue_risk, text_counts, duplication, complexity_classes, endpoints, survivability_scores, endpoint_scores, rse_no_source, request_weights, rse_findings, rse_summary, rse_report)
 }
 
 EDGES = """
@@ -236,6 +242,8 @@ SQL = {
     "scc_components": f"WITH {_SCC} SELECT analysis_id, component, id FROM scc",
     "scc_findings": f"WITH {_SCC} SELECT analysis_id, 'DEP-CYC' AS rule, 'error' AS severity, component, count(*) AS n FROM scc GROUP BY ALL",
     "layer_violations": f"WITH {EDGES}, {_VIOLATIONS} SELECT * FROM violations",
+    "dependency_findings": f"""WITH {_SCC}, {_VIOLATIONS} SELECT analysis_id, 'DEP-CYC' AS rule, 'error' AS severity, 'cycle of ' || count(*) || ' modules at ' || component AS subject FROM scc GROUP BY analysis_id, component
+        UNION ALL SELECT analysis_id, 'DEP-ARCH', 'error', source_id || ' uses ' || target_id || ': ' || from_layer || ' may not use ' || to_layer FROM violations""",
     "dependency_risk": f"""WITH {_SCC}, {_VIOLATIONS}, f AS (SELECT analysis_id, component AS x FROM scc GROUP BY ALL UNION ALL SELECT analysis_id, source_id FROM violations)
         SELECT analysis_id, round(least(1.0, 0.2 * count(*)), 6) AS risk FROM f GROUP BY ALL""",
     "mm1_metrics": f"""WITH {_ARRIVALS} SELECT event_type, mu, """

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SEVERITIES, severity_rank
 from ..operators.process import FEATURES
+from ..runtime import cut, join_measured
+from ..sources.files import FEEDBACK
 
 #: SARIF levels by severity (fixed values).
 LEVELS = {"info": "note", "warning": "warning", "error": "error", "critical": "error"}
@@ -28,11 +30,38 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     rows.write.mode("append").partitionBy("analysis_id").parquet(path)
 
 
-def upsert(df: DataFrame, path: str) -> None:
-    """Replace the partitions (analysis_id) that df holds and leave all others."""
+def upsert(df: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """Put rows into the table at path: rows of the same keys are replaced, all others stay. Without keys whole partitions (analysis_id) are replaced.
+
+    Only partitions that df holds are written again. Repeated keys of df count once.
+    """
+    if keys:
+        df = df.dropDuplicates(keys)
+        touched = df.select("analysis_id").distinct()
+        try:
+            old = df.sparkSession.read.schema(df.schema).parquet(path)
+        except Exception as e:  # noqa: BLE001 - the table does not exist yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
+            stay = join_measured(old, touched, ["analysis_id"]).join(df, keys, "left_anti")
+            df = cut(stay.select(*df.columns).unionByName(df))  # what is read is about to be overwritten
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(path)
 
 
+def append_feedback(entries: DataFrame, path: str) -> None:
+    """Add feedback entries to a folder of JSON lines, those whose id it holds already left out; files.feedback reads them."""
+    rows = entries.dropDuplicates(["id"])
+    try:
+        known = entries.sparkSession.read.schema(FEEDBACK).json(path).select("id")
+    except Exception as e:  # noqa: BLE001 - the folder does not exist yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    else:
+        rows = rows.join(cut(known), "id", "left_anti")
+    rows.select(*[c.split()[0] for c in FEEDBACK.split(", ")]).write.mode("append").json(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -109,3 +138,10 @@ def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("nodes"))
     e = edges.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("edges"), *[F.count_if(F.col("kind") == k).alias(k) for k in _EDGE])
     return n.join(e, "analysis_id", "left").na.fill(0).select("analysis_id", F.to_json(F.struct("nodes", "edges", *_EDGE)).alias("report"))
+
+
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The whole graph as JSON lines: (analysis_id, kind, line), a line for each node and each edge."""
+    a = nodes.select("analysis_id", F.lit("node").alias("kind"), F.to_json(F.struct("id", "file_path", "module_name", "language")).alias("line"))
+    b = edges.select("analysis_id", F.lit("edge").alias("kind"), F.to_json(F.struct("source_id", "target_id", "line", F.col("kind").alias("kind"))).alias("line"))
+    return a.unionByName(b)

@@ -90,6 +90,15 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     sinks.upsert(df([("b", "9", 9)]), path)
     assert {(r.analysis_id, r.hash) for r in spark.read.parquet(path).collect()} == {("a", "1"), ("b", "9")}
+    sinks.upsert(df([("b", "9", 10), ("b", "8", 8), ("b", "8", 8), ("c", "1", 1)]), path, ["analysis_id", "hash"])
+    sinks.upsert(df([("a", "2", 2)]), path, ["analysis_id", "hash"])
+    assert {(r.analysis_id, r.hash, r.n) for r in spark.read.parquet(path).collect()} >= {("a", "2", 2), ("b", "9", 10), ("b", "8", 8), ("c", "1", 1)} and spark.read.parquet(path).count() == 5
+    sinks.upsert(df([("n", "1", 1)]), str(tmp_path / "new"), ["analysis_id", "hash"])
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 1
+    entry = lambda i: spark.createDataFrame([(i, "f", "rse", "a", 1, "Correct", None, None, 5, None)], S.FEEDBACK)
+    for i in ("1", "2", "1"):
+        sinks.append_feedback(entry(i), str(tmp_path / "fb"))
+    assert sorted(r.id for r in spark.read.schema(S.FEEDBACK).json(str(tmp_path / "fb")).collect()) == ["1", "2"]
     features = spark.createDataFrame([], "file_path string, " + ", ".join(f"{c} double" for c in FEATURES))
     sinks.write_features_csv(features, str(tmp_path / "csv"))
     assert spark.read.text(str(tmp_path / "csv")).first().value.count(",") == 14
@@ -108,6 +117,8 @@ def test_texts(spark):
     dot = sinks.dot(nodes, edges, cycles)
     assert '[label="a\\"b.py"]' in dot and "style=dashed, color=orange" in dot and "// cycle: x, y" in dot
     assert json.loads(sinks.graph_report(nodes, edges).first().report)["dynamic"] == 1
+    lines = sinks.graph_lines(nodes.withColumns({c: F.lit(None).cast("string") for c in ("file_path", "module_name", "language")}) if "file_path" not in nodes.columns else nodes, edges.withColumn("line", F.lit(1)))
+    assert {r.kind for r in lines.collect()} == {"node", "edge"} and all(json.loads(r.line) for r in lines.collect())
 
 
 def test_validation(spark):
@@ -142,3 +153,15 @@ def test_streams(spark, tmp_path):
     assert ent.count() >= 3 and ent.where("entropy < 0 OR entropy > 7").count() == 0
     s = run(W.sessions(stream.select(F.col("file_path").alias("key"), "at"), "90 minutes", "1 hour"), "sess", "append")
     assert s.columns == ["key", "start", "end", "n"]
+
+
+def test_validation_in_one_call(spark):
+    rows = [("f1", "rse", "error", "a.py", 1, "m1"), ("f2", "ml", "error", "b.py", 2, "m2"), ("f3", "rse", "warning", "c.py", 3, "m3")]
+    found = spark.createDataFrame(rows, "finding_id string, engine string, severity string, file_path string, line int, message string")
+    answer = lambda prompt: json.dumps({"is_valid": "m1" in prompt, "confidence": 0.5})
+    out = {r.finding_id: r for r in V.validate(found, answer).collect()}
+    assert set(out) == {"f1", "f3"} and out["f1"].is_valid and not out["f3"].is_valid
+    cache = spark.createDataFrame([("f3:c.py:3:m3", True, 0.9, "e", None)], "key string, is_valid boolean, confidence double, explanation string, suggested_fix string")
+    out = {r.finding_id: r for r in V.validate(found, None, cache).collect()}
+    assert out["f3"].confidence == 0.9 and out["f1"].confidence == 0.5 and out["f1"].is_valid
+    assert V.risk(V.validate(found, answer)).first().risk == pytest.approx(0.15) and V.validate(found.limit(0), answer).count() == 0

@@ -17,7 +17,11 @@ def test_equals_sql(spark, con, name):
     assert not only_ours and not only_theirs and ours == theirs
 
 
+#: Queries without SQL that find nothing in the generated files; their rules are checked by the *_examples queries.
+NOTHING = {"endpoints", "endpoint_scores", "import_edges", "resource_leaks", "ir_live_definitions", "repair_findings", "repair_by_rule", "repair_recommendations"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    df = QUERIES[name](spark, FOLDER)
-    assert df.columns and df.count() >= 0
+    rows = QUERIES[name](spark, FOLDER).collect()
+    assert (len(rows) == 0) == (name in NOTHING)
