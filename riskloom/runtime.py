@@ -79,13 +79,13 @@ def join_measured(big: DataFrame, small: DataFrame, on: list[str], how: str = "i
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, for work in Python that outweighs a shuffle.
+def spread(df: DataFrame, times: int = 1) -> DataFrame:
+    """df over at least ``times`` as many partitions as there are cores, for work in Python that outweighs a shuffle.
 
     Only an input of few partitions, hence small, is repartitioned; a large one passes as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    wanted = df.sparkSession.sparkContext.defaultParallelism * times
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def normal_hash(c: Column | str) -> Column:
