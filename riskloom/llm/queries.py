@@ -53,7 +53,7 @@ def p3_files(spark: SparkSession, d: str) -> DataFrame:
     """Files that no one on the project wrote by hand, with the evidence."""
     columns = ("analysis_id", "file_path")
     paths = table(spark, d, "dep_nodes", *columns).distinct().unionByName(table(spark, d, "process_file_changes", *columns).distinct())
-    return not_handwritten(paths, spread(table(spark, d, "source_files", "analysis_id", "path", "content")))
+    return not_handwritten(paths, spread(table(spark, d, "source_files", "analysis_id", "path", "content"), 4))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
