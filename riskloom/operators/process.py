@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_bug_fix
-from ..runtime import normal_hash, table
+from ..runtime import cut, normal_hash, table
 from .commit_refs import resolve
 from .pairs import pair_counts
 
@@ -110,7 +110,8 @@ def author_shares(changes: DataFrame) -> DataFrame:
 
 def co_changes(changes: DataFrame) -> DataFrame:
     """Pairs of files changed in the same commit (smaller path first) and their number of commits; commits of many files are split (see pair_counts)."""
-    pairs = pair_counts(changes.select("analysis_id", "hash", "file_path"), "analysis_id", "hash", "file_path")
+    rows = cut(changes.select("analysis_id", "hash", "file_path"))  # the pair engine reads them three times
+    pairs = pair_counts(rows, "analysis_id", "hash", "file_path")
     return pairs.select(F.col("g").alias("analysis_id"), F.least("i1", "i2").alias("file_a"), F.greatest("i1", "i2").alias("file_b"), F.col("n_ab").alias("n"))
 
 
